@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,12 +12,22 @@ from .text import normalise
 from .vocab import ENGLISH_MONTHS, HINDI_MONTHS, REGIONAL, SPELLINGS, SQM
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _iso(y: Column, m: Column, d: Column) -> Column:
     return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0"))
 
 
-def _group(c: Column, pattern: str, k: int) -> Column:
-    return F.regexp_extract(c, pattern, k)
+def _groups(c: Column, pattern: str) -> list[Column]:
+    return [F.regexp_extract(c, pattern, k) for k in (1, 2, 3)]
+
+
+DAY_FIRST, YEAR_FIRST = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})\b", r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
+HINDI = rf"(\d{{1,2}})\s*({'|'.join(n for n, _ in HINDI_MONTHS)})\s*(\d{{4}})"
+ENGLISH = r"(\d{1,2})\s*([A-Za-z]{3,9})\.?\s*(\d{4})"
 
 
 def parse_date(raw: Column) -> Column:
@@ -25,59 +36,55 @@ def parse_date(raw: Column) -> Column:
     Two-digit years up to 30 are 20xx, else 19xx; day and month are swapped if only that makes sense.
     Days run to 31 in every month: a date that does not exist is left for the rules to reject.
     """
-    t = normalise(raw)
-    dmy = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})\b"
-    d, m, y = (_group(t, dmy, k).try_cast("int") for k in (1, 2, 3))
-    year = F.when(y < 100, y + F.when(y <= 30, 2000).otherwise(1900)).otherwise(y)
-    swap = (m > 12) & (d <= 12)
-    day, month = F.when(swap, m).otherwise(d), F.when(swap, d).otherwise(m)
-    odd = (d > 31) & (m <= 12)
-    first = F.when(month.between(1, 12) & day.between(1, 31), _iso(year, month, day))
-    ymd = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
-    iy, im, idd = (_group(t, ymd, k).try_cast("int") for k in (1, 2, 3))
-    second = F.when(im.between(1, 12) & idd.between(1, 31), _iso(iy, im, idd))
-    months = [F.when(t.rlike(rf"\d{{1,2}}\s*{name}\s*\d{{4}}"), _iso(_group(t, rf"(\d{{1,2}})\s*{name}\s*(\d{{4}})", 2), F.lit(n), _group(t, rf"(\d{{1,2}})\s*{name}\s*(\d{{4}})", 1))) for name, n in HINDI_MONTHS]
-    named = r"(\d{1,2})\s*([A-Za-z]{3,9})\.?\s*(\d{4})"
-    at = F.array_position(F.array(*[F.lit(x) for x in ENGLISH_MONTHS]), F.lower(F.substr(_group(t, named, 2), F.lit(1), F.lit(3))))
-    last = F.when(at > 0, _iso(_group(t, named, 3), at, _group(t, named, 1)))
-    return F.when(F.coalesce(odd, F.lit(False)), None).otherwise(F.coalesce(first, second, *months, last))
 
+    def read(t: Column) -> Column:
+        d, m, y = (g.try_cast("int") for g in _groups(t, DAY_FIRST))
+        year = F.when(y < 100, y + F.when(y <= 30, 2000).otherwise(1900)).otherwise(y)
+        swap = (m > 12) & (d <= 12)
+        day, month = F.when(swap, m).otherwise(d), F.when(swap, d).otherwise(m)
+        first = F.when(month.between(1, 12) & day.between(1, 31), _iso(year, month, day))
+        iy, im, idd = (g.try_cast("int") for g in _groups(t, YEAR_FIRST))
+        second = F.when(im.between(1, 12) & idd.between(1, 31), _iso(iy, im, idd))
+        hd, hm, hy = _groups(t, HINDI)
+        third = F.when(hm != "", _iso(hy, F.create_map(*[x for n, k in HINDI_MONTHS for x in (F.lit(n), F.lit(k))])[hm], hd))
+        ed, em, ey = _groups(t, ENGLISH)
+        at = F.array_position(F.array(*[F.lit(x) for x in ENGLISH_MONTHS]), F.lower(F.substr(em, F.lit(1), F.lit(3))))
+        last = F.when(at > 0, _iso(ey, at, ed))
+        return F.when(F.coalesce((d > 31) & (m <= 12), F.lit(False)), None).otherwise(F.coalesce(first, second, third, last))
 
-_NEXT = r"(?![\wऀ-෿])"
-
+    return let(normalise(raw), read)
 
-def area_parts(raw: Column) -> Column:
-    """array<struct<value, unit>> of every number with a unit in the text, in order.
 
-    One pattern takes the longest spelling at each place, so a spelling inside a longer one is never read.
-    """
-    t = F.replace(F.lower(normalise(raw)), F.lit(","), F.lit(""))
-    units = "|".join(re.escape(s).replace(r"\ ", " ") for s, _ in SPELLINGS)
-    hits = F.regexp_extract_all(t, F.lit(rf"\d+(?:\.\d+)?\s*(?:{units}){_NEXT}"), F.lit(0))
-    names = F.create_map(*[x for s, u in SPELLINGS for x in (F.lit(s), F.lit(u))])
-    return F.transform(hits, lambda h: F.struct(F.regexp_extract(h, r"^\d+(?:\.\d+)?", 0).cast("double").alias("value"), names[F.regexp_replace(h, r"^\d+(?:\.\d+)?\s*", "")].alias("unit")))
+_NEXT = r"(?![\wऀ-෿])"
+_UNIT = "|".join(re.escape(s).replace(r"\ ", " ") for s, _ in SPELLINGS)
+_PART, _FAR = rf"\d+(?:\.\d+)?\s*(?:{_UNIT}){_NEXT}", rf"(\d+(?:\.\d+)?)\s+[a-z]{{1,4}}\.?\s+({_UNIT}){_NEXT}"
 
 
 def parse_area(raw: Column) -> Column:
     """struct<sqm, unit, regional_unit, unit_missing> of an area; null if the text has no number.
 
-    Parts are summed (2 bigha 10 biswa). If no number has a unit right after it, one short word
-    between number and unit is allowed; failing that, the unit is missing and sqm is null.
+    One pattern takes the longest spelling of a unit at each place. Parts are summed (2 bigha 10 biswa).
+    If no number has a unit right after it, one short word between number and unit is allowed; failing
+    that, the unit is missing and sqm is null.
     """
-    t = F.replace(F.lower(normalise(raw)), F.lit(","), F.lit(""))
-    parts = area_parts(raw)
-    units = "|".join(re.escape(s).replace(r"\ ", " ") for s, _ in SPELLINGS)
-    gap = rf"(\d+(?:\.\d+)?)\s+[a-z]{{1,4}}\.?\s+({units}){_NEXT}"
     names = F.create_map(*[x for s, u in SPELLINGS for x in (F.lit(s), F.lit(u))])
-    far = F.when(t.rlike(gap), F.array(F.struct(F.regexp_extract(t, gap, 1).cast("double").alias("value"), names[F.regexp_extract(t, gap, 2)].alias("unit"))))
-    kept = F.when(F.size(parts) > 0, parts).otherwise(far)
     factor = F.create_map(*[x for u, f in SQM.items() for x in (F.lit(u), F.lit(f))])
-    sqm = F.round(F.aggregate(kept, F.lit(0.0), lambda a, p: a + p["value"] * factor[p["unit"]]), 3)
-    unit = F.when(F.size(kept) == 1, F.get(kept, 0)["unit"]).otherwise("composite")
-    regional = F.exists(kept, lambda p: p["unit"].isin(*REGIONAL))
-    known = F.struct(sqm.alias("sqm"), unit.alias("unit"), regional.alias("regional_unit"), F.lit(False).alias("unit_missing"))
-    bare = F.struct(F.lit(None).cast("double").alias("sqm"), F.lit(None).cast("string").alias("unit"), F.lit(False).alias("regional_unit"), F.lit(True).alias("unit_missing"))
-    return F.when(kept.isNotNull(), known).when(t.rlike(r"\d"), bare)
+
+    def parts(t: Column) -> Column:
+        near = F.transform(F.regexp_extract_all(t, F.lit(_PART), F.lit(0)), lambda h: F.struct(F.regexp_extract(h, r"^\d+(?:\.\d+)?", 0).cast("double").alias("value"), names[F.regexp_replace(h, r"^\d+(?:\.\d+)?\s*", "")].alias("unit")))
+        far = F.when(t.rlike(_FAR), F.array(F.struct(F.regexp_extract(t, _FAR, 1).cast("double").alias("value"), names[F.regexp_extract(t, _FAR, 2)].alias("unit"))))
+        return let(near, lambda n: F.when(F.size(n) > 0, n).otherwise(far))
+
+    def whole(kept: Column) -> Column:
+        sqm = F.round(F.aggregate(kept, F.lit(0.0), lambda a, p: a + p["value"] * factor[p["unit"]]), 3)
+        unit = F.when(F.size(kept) == 1, F.get(kept, 0)["unit"]).otherwise("composite")
+        return F.when(kept.isNotNull(), F.struct(sqm.alias("sqm"), unit.alias("unit"), F.exists(kept, lambda p: p["unit"].isin(*REGIONAL)).alias("regional_unit"), F.lit(False).alias("unit_missing")))
+
+    def read(t: Column) -> Column:
+        bare = F.struct(F.lit(None).cast("double").alias("sqm"), F.lit(None).cast("string").alias("unit"), F.lit(False).alias("regional_unit"), F.lit(True).alias("unit_missing"))
+        return F.coalesce(let(parts(t), whole), F.when(t.rlike(r"\d"), bare))
+
+    return let(F.replace(F.lower(normalise(raw)), F.lit(","), F.lit("")), read)
 
 
 def land_class(value: Column, table: dict[str, tuple[str, ...]]) -> Column:

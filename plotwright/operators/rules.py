@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import parse_area
+from ..functions.parse import let, parse_area
 from ..functions.text import compare_key, looks_like_placeholder, normalise
 from ..functions.vocab import FIELD, IDENTIFIERS, LAND_CLASSES, PLACEHOLDERS, REQUIRED
 
@@ -55,8 +55,11 @@ def required_fields(doc_type: str | None = None) -> Column:
 
 
 def area_sanity() -> Column:
-    raw, a = got("area"), parse_area(F.col("area"))
-    sqm = a["sqm"]
+    return let(parse_area(F.col("area")), _area_issues)
+
+
+def _area_issues(a: Column) -> Column:
+    raw, sqm = got("area"), a["sqm"]
     have = raw.isNotNull() & ~a["unit_missing"]
     return found(
         (raw.isNotNull() & a.isNull(), issue("AREA_UNPARSED", "error", "area", "the area has no number")),

@@ -171,3 +171,40 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert sorted(r.text for r in spark.table("firsts").collect()) == ["a", "b"]
     assert sorted(r.c for r in spark.table("volumes").collect()) == [1, 2]
+
+
+def token(claims, secret="s", alg="HS256"):
+    import base64
+    import hashlib
+    import hmac
+    import json
+
+    enc = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    body = f"{enc({'alg': alg})}.{enc(claims)}"
+    return f"{body}.{base64.urlsafe_b64encode(hmac.new(secret.encode(), body.encode(), hashlib.sha256).digest()).rstrip(b'=').decode()}"
+
+
+def test_tokens():
+    from plotwright.functions import auth
+
+    claims = {"sub": "u1", "exp": 1000, "aud": "app", "email": " A@B.c ", "user_metadata": {"role": "admin"}}
+    assert auth.verified_claims(token(claims), "s", "app", now=990) == claims
+    assert auth.role_of(claims) == "admin" and auth.role_of(claims | {"app_metadata": {"role": "operator"}}) == "operator" and auth.role_of({}) == "auditor"
+    assert auth.name_of(claims) == "a@b.c"
+    for bad in (token(claims, "other"), token(claims, alg="none"), token({"sub": "u1"}), token(claims | {"exp": 1}), token(claims | {"nbf": 5000}), token(claims | {"sub": ""}), "a.b", ""):
+        with pytest.raises(auth.Refused):
+            auth.verified_claims(bad, "s", "app", now=990)
+    with pytest.raises(auth.Refused, match="audience"):
+        auth.verified_claims(token(claims), "s", "else", now=990)
+
+
+def test_scans(spark):
+    from plotwright.operators import scans
+
+    words = spark.createDataFrame([(1, 50.0, 10.0, 80.0, 20.0, "213/1"), (1, 0.0, 11.0, 40.0, 21.0, "Khasra"), (1, 0.0, 40.0, 30.0, 50.0, "Next")], "page int, x0 double, y0 double, x1 double, y1 double, text string")
+    assert [r.text for r in scans.visual_rows(words, "page").orderBy("line_no").collect()] == ["Khasra 213/1", "Next"]
+    masks = spark.createDataFrame([("m", 1, 0.0, 0.0, 10.0, 10.0), ("m", 2, 1.0, 1.0, 9.0, 9.0), ("m", 3, 8.0, 8.0, 18.0, 18.0)], "k string, mask_id int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(r.mask_id for r in scans.drop_nested(masks, "k").collect()) == [1, 3]
+    cut = spark.createDataFrame([("one two three four", 50.0, 10.0), ("indivisible", 10.0, 10.0), ("ok", 10.0, 10.0)], "t string, w double, h double")
+    assert [r[0] for r in cut.select(scans.trim_overrun(F.col("t"), F.col("w"), F.col("h"))).collect()] == ["one", "indivisible", "ok"]
+    assert spark.createDataFrame([("a12b3", ["7", "88"])], "t string, r array<string>").select(scans.with_digits(F.col("t"), F.col("r"))).first()[0] == "a7b88"
