@@ -12,8 +12,8 @@
    bound. Groups over a size bound are split in blocks that meet pairwise, so no task holds more
    than two blocks. Only links between parts that are not yet connected are looked for.
 
-Fingerprints that travel have 48 bits: two different shingles of one pair of documents are taken for
-one with a chance under 1e-8, whatever the size of the corpus.
+Fingerprints travel as the number of their part and 40 bits: two different shingles of a pair of
+documents are taken for one with a chance under 1e-12, the less the larger the corpus.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Text bytes that are hashed at once, fingerprints gathered before they are packed, fingerprints of a bucket.
 CHUNK_BYTES, FLUSH, BUCKET = 4_000_000, 1_500_000, 3_000_000
+#: The most classes in a chunk: their places fit in two bytes.
+CHUNK_ROWS = 60_000
 #: The most classes and fingerprints in one block of a candidate group.
 BLOCK_ROWS, BLOCK_TOKENS = 20_000, 4_000_000
 U = np.uint64
@@ -133,23 +136,21 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(rows, "doc_id long, n_shingles long, key long")
 
 
-def _dealt(part: np.ndarray, n_parts: int, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """Entries dealt out by `part`: for each part the owners with their entries, packed."""
+def _spread(part: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of the entries of each part, in order."""
     order = np.argsort(part, kind="stable")
     bound = np.searchsorted(part[order], np.arange(n_parts + 1))
     for p in np.flatnonzero(np.diff(bound)).tolist():
-        at = order[bound[p] : bound[p + 1]]
-        own, first = np.unique(owner[at], return_index=True)
-        yield p, pack(keys[own], sizes[own], np.diff(np.append(first, len(at))).astype(np.int32), *(c[at] for c in columns))
+        yield p, order[bound[p] : bound[p + 1]]
 
 
-def _halves(t: np.ndarray) -> list[np.ndarray]:
-    """Fingerprints of 48 bits as columns of 4 and 2 bytes."""
-    return [(t >> U(32)).astype(np.uint32), ((t >> U(16)) & U(0xFFFF)).astype(np.uint16)]
+def _gaps(owner: np.ndarray) -> np.ndarray:
+    """Ascending small numbers as compressed steps."""
+    return np.frombuffer(zstandard.compress(np.diff(owner, prepend=0).astype(np.uint16).tobytes(), 1), np.uint8)
 
 
-def _whole(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return (high.astype(np.uint64) << U(16)) | low.astype(np.uint64)
+def _owners(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(gaps.tobytes()), np.uint16), dtype=np.int64)
 
 
 def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -157,25 +158,29 @@ def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _by_part(batches) -> Iterator[list[bytes]]:
-    """The payloads of one part after another, from rows sorted by part."""
+def _by_part(batches) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
+    """The unpacked payloads of one part after another, from rows sorted by part."""
     part, held = None, []
     for b in batches:
         for p, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if p != part and held:
-                yield held
+                yield part, held
                 held = []
             part = p
-            held.append(blob.as_py())
+            held.append(unpack(blob.as_py()))
     if held:
-        yield held
+        yield part, held
 
 
 PARTS = ["part", "payload"], [pa.int32(), pa.binary()]
 
 
 def postings(docs: DataFrame, text_col: str, n_parts: int) -> DataFrame:
-    """part and payload: the fingerprints of a task's classes, dealt out by their leading bits."""
+    """part and payload: the fingerprints of a task's classes, dealt out by their leading bits.
+
+    A task gathers the classes it meets into chunks. A chunk sends its entries (place of the class in
+    the chunk, 40 bits of the fingerprint) to the parts, and once the list of its classes.
+    """
 
     def rows(batches):
         held: dict[int, np.ndarray] = {}
@@ -187,15 +192,19 @@ def postings(docs: DataFrame, text_col: str, n_parts: int) -> DataFrame:
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             part = ((token >> U(32)) * U(n_parts) >> U(32)).astype(np.uint16 if n_parts < 65536 else np.int32)
             keys, sizes = np.fromiter(held, np.int64, len(sets)), np.fromiter(map(len, sets), np.int32, len(sets))
-            for row in _dealt(part, n_parts, owner, keys, sizes, _halves(token)):
-                yield _record([row], *PARTS)
+            # the same for a task that is run again
+            chunk = mix((keys.view(np.uint64) * weights(len(keys), 9)).sum(keepdims=True)).view(np.int64)
+            yield _record([(int(chunk.view(np.uint64)[0] % U(n_parts)), pack(chunk, keys, sizes))], *PARTS)
+            for p, at in _spread(part, n_parts):
+                t = token[at]
+                yield _record([(p, pack(chunk, _gaps(owner[at]), ((t >> U(8)) & U(0xFFFFFFFF)).astype(np.uint32), (t & U(0xFF)).astype(np.uint8)))], *PARTS)
 
         for b in batches:
             for s in shingle_sets(b.column(0)):
                 if len(s) and (key := set_key(s)) not in held:
                     held[key] = s
                     total += len(s)
-                    if total >= FLUSH:
+                    if total >= FLUSH or len(held) == CHUNK_ROWS:
                         yield from flush()
                         held, total = {}, 0
         if held:
@@ -205,63 +214,92 @@ def postings(docs: DataFrame, text_col: str, n_parts: int) -> DataFrame:
 
 
 def _shared(dealt: DataFrame, n_parts: int) -> DataFrame:
-    """Of each bucket the fingerprints that two classes or more have, with their number, dealt out by class."""
+    """Of each part the fingerprints that two entries or more have, with their number, back to their chunks.
+
+    A class in several chunks counts in each: its document frequency is then too high, which costs
+    a candidate, never a link.
+    """
 
     def rows(batches):
-        for blobs in _by_part(batches):
-            keys, sizes, counts, high, low = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-            # a class that several tasks have met is in several payloads; one counts
-            _, first = np.unique(keys, return_index=True)
-            one = np.zeros(len(keys), bool)
-            one[first] = True
-            owner = np.repeat(np.arange(len(keys)), counts)
-            kept = one[owner]
-            token, owner = _whole(high[kept], low[kept]), owner[kept]
+        for part, payloads in _by_part(batches):
+            entries = [x for x in payloads if len(x) == 4]
+            for chunk, *rest in (x for x in payloads if len(x) == 3):
+                yield _record([(int(chunk.view(np.uint64)[0] % U(n_parts)), pack(chunk, *rest))], *PARTS)
+            if not entries:
+                continue
+            token = np.concatenate([(high.astype(np.uint64) << U(8)) | low for _, _, high, low in entries])
             order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
-            start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
-            times = np.diff(np.append(start, len(token)))
-            df = np.repeat(times, times)
-            more = df > 1
-            token, owner, df = token[more], owner[more], df[more].astype(np.int32)
-            back = np.argsort(owner, kind="stable")
-            token, owner, df = token[back], owner[back], df[back]
-            part = (keys[owner].view(np.uint64) % U(n_parts)).astype(np.int64)
-            columns = [(token >> U(16)).astype(np.uint32), (token & U(0xFFFF)).astype(np.uint16), df]
-            for row in _dealt(part, n_parts, owner, keys, sizes, columns):
-                yield _record([row], *PARTS)
+            ordered = token[order]
+            start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            times = np.diff(np.append(start, len(ordered)))
+            df = np.empty(len(token), np.int64)
+            df[order] = np.repeat(times, times)
+            at = 0
+            for chunk, gaps, high, low in entries:
+                mine = df[at : at + len(high)]
+                at += len(high)
+                more = mine > 1
+                if more.any():
+                    # one byte tells how rare a fingerprint is, on a logarithmic scale
+                    often = np.minimum(8 * np.log2(mine[more]), 255).astype(np.uint8)
+                    out = pack(chunk, np.array([part], np.int64), _gaps(_owners(gaps)[more]), high[more], low[more], often)
+                    yield _record([(int(chunk.view(np.uint64)[0] % U(n_parts)), out)], *PARTS)
 
     return dealt.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(rows, "part int, payload binary")
 
 
-ACTIVE = "key long, n long, tokens binary, df binary"
+def _six(token: np.ndarray) -> bytes:
+    """Fingerprints under 2 ** 48, six bytes each."""
+    return np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unsix(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+ACTIVE = "key long, n long, m long, tokens binary"
+
+
+KINDS = ["key", "n", "m", "tokens"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _active(shared: DataFrame, n_parts: int) -> DataFrame:
-    """The classes whose shared part can hold a link: key, n, and their shared fingerprints, rarest first."""
+    """The classes whose shared part can hold a link: key, n, and their m shared fingerprints, rarest first.
+
+    A class of several chunks comes once for each.
+    """
 
     def rows(batches):
-        for blobs in _by_part(batches):
-            keys, sizes, counts, high, low, df = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-            names, owner = np.unique(keys, return_inverse=True)
-            size = np.zeros(len(names), np.int64)
-            size[owner] = sizes
-            have = np.bincount(owner, counts, len(names)).astype(np.int64)
-            live = 100 * have >= PERCENT * size
-            entry = np.repeat(owner, counts)
+        for _, payloads in _by_part(batches):
+            place, keys, sizes = {}, [], []
+            for chunk, k, n in (x for x in payloads if len(x) == 3):
+                if int(chunk[0]) not in place:
+                    place[int(chunk[0])] = sum(map(len, keys))
+                    keys.append(k)
+                    sizes.append(n)
+            entries = [x for x in payloads if len(x) == 6]
+            if not entries:
+                continue
+            keys, sizes = np.concatenate(keys), np.concatenate(sizes).astype(np.int64)
+            entry = np.concatenate([_owners(x[2]) + place[int(x[0][0])] for x in entries])
+            token = np.concatenate([(x[1].astype(np.uint64) << U(40)) | (x[3].astype(np.uint64) << U(8)) | x[4] for x in entries])
+            df = np.concatenate([x[5] for x in entries])
+            live = 100 * np.bincount(entry, minlength=len(keys)) >= PERCENT * sizes
             kept = live[entry]
-            token, df, entry = _whole(high[kept], low[kept]), df[kept], entry[kept]
+            token, df, entry = token[kept], df[kept], entry[kept]
             order = np.lexsort((token, df, entry))
             token, df, entry = token[order], df[order], entry[order]
             ids = np.flatnonzero(live)
-            bound = np.searchsorted(entry, np.append(ids, len(names)))
+            first, last = np.searchsorted(entry, ids), np.searchsorted(entry, ids, "right")
             out = []
-            for i, a, z in zip(ids.tolist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-                out.append((int(names[i]), int(size[i]), token[a:z].tobytes(), df[a:z].tobytes()))
+            for i, a, z in zip(ids.tolist(), first.tolist(), last.tolist(), strict=True):
+                out.append((int(keys[i]), int(sizes[i]), z - a, _six(token[a:z])))
                 if len(out) == 500:
-                    yield _record(out, ["key", "n", "tokens", "df"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+                    yield _record(out, *KINDS)
                     out = []
-            yield _record(out, ["key", "n", "tokens", "df"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+            yield _record(out, *KINDS)
 
     return shared.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(rows, ACTIVE)
 
@@ -273,7 +311,7 @@ def _prefixes(active: DataFrame) -> DataFrame:
         for b in batches:
             token, key = [], []
             for k, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                t = np.frombuffer(blob.as_py(), np.uint64)
+                t = _unsix(blob.as_py())
                 # fingerprints of one class only come first in the order and take up their part of the prefix
                 m = n - -(-PERCENT * n // 100) + 1 - (n - len(t))
                 token.append(t[: max(0, m)].view(np.int64))
@@ -334,19 +372,19 @@ class Trie:
         return out
 
 
-def join_group(sizes: np.ndarray, tokens: list[np.ndarray], df: list[np.ndarray]) -> np.ndarray:
+def join_group(sizes: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
     """For each set of a candidate group the first member of its component over links.
 
-    Sets are probed until all that is not probed lies in one component: a link between two
+    Fingerprints are ordered by how many sets of the group have them. Sets are probed until all that is not probed lies in one component: a link between two
     components would have shown from either side.
     """
-    token, often = np.concatenate(tokens), np.concatenate(df)
-    names, first, rank = np.unique(token, return_index=True, return_inverse=True)
+    names, rank, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     place = np.empty(len(names), np.int64)
-    place[np.lexsort((names, often[first]))] = np.arange(len(names))
+    # what every set has makes the paths that the tree shares, so it comes first; sets share what is common, and differ below it
+    place[np.lexsort((names, -often))] = np.arange(len(names))
     rank = place[rank]
     at = np.cumsum([0] + [len(t) for t in tokens])
-    trie = Trie([rank[a:z] for a, z in zip(at[:-1], at[1:], strict=True)], sizes)
+    trie = Trie([np.sort(rank[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)], sizes)
     g = len(tokens)
     label, probed = np.arange(g), np.zeros(g, bool)
     while True:
@@ -370,7 +408,7 @@ def _joined(groups: DataFrame, n_parts: int) -> DataFrame:
 
     def finish(held):
         keys = np.array([h[0] for h in held], np.int64)
-        label = join_group(np.array([h[1] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held], [np.frombuffer(h[3], np.int32) for h in held])
+        label = join_group(np.array([h[1] for h in held]), [_unsix(h[2]) for h in held])
         low = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(low, label, keys)
         other = low[label]
@@ -392,7 +430,7 @@ def _joined(groups: DataFrame, n_parts: int) -> DataFrame:
             yield finish(held)
 
     order = ["comp", "i", "j"]
-    return groups.select(*order, "key", "n", "tokens", "df").repartition(n_parts, *order).sortWithinPartitions(*order).mapInArrow(rows, "key long, other long")
+    return groups.select(*order, "key", "n", "tokens").repartition(n_parts, *order).sortWithinPartitions(*order).mapInArrow(rows, "key long, other long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,13 +452,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = prefix.groupBy("token").agg(F.min("key").alias("other"), F.count("*").alias("times")).where("times > 1").drop("times")
     near = prefix.join(heads, "token").where("key <> other").select("key", "other").distinct()
     group = components(near, "key", "other")
-    sized = group.withColumnRenamed("node", "key").withColumnRenamed("root", "comp").join(active, "key")
-    blocks = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("tokens") / 8) / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    group = group.withColumnRenamed("node", "key").withColumnRenamed("root", "comp")
+    blocks = group.join(active.select("key", "m"), "key").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("m") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     blocks = cut(blocks)
     own = F.expr("CAST(pmod(xxhash64(key), blocks) AS INT)")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("i"), F.greatest(x, F.col("b")).alias("j")))
-    dealt = sized.join(blocks, "comp").withColumn("b", own).withColumn("pair", F.explode(pairs)).selectExpr("comp", "pair.i AS i", "pair.j AS j", "key", "n", "tokens", "df")
-    found = cut(_joined(dealt, least))
+    # the split is told on the keys alone, so that the sets move once
+    split = group.join(blocks, "comp").withColumn("b", own).withColumn("pair", F.explode(pairs)).selectExpr("comp", "pair.i AS i", "pair.j AS j", "key")
+    found = cut(_joined(split.join(active.select("key", "n", "tokens"), "key"), least).distinct())
     if blocks.where("blocks > 1").limit(1).count():
         found = components(found, "key", "other").where("node <> root").selectExpr("node AS key", "root AS other")
     rooted = member.join(found, "key", "left").withColumn("root", F.coalesce("other", "key"))
