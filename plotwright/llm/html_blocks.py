@@ -128,16 +128,31 @@ def blocks(page: str) -> list[Block]:
 
 
 PATH_BINS, WORD_BINS, NUMBERS = 256, 48, 8
+#: Tag paths weigh more than words: they are what layouts share.
+PATH_WEIGHT = 4.0
 _bins: dict[str, tuple[int, float]] = {}
-WORD = re.compile(r"[^\W\d_]+|[©|»›&•]")
+WORD = re.compile(r"[^\W\d_]+|[©»›]")
+
+
+#: Names with a bin of their own; others share hashed bins.
+NAMED = {
+    n: i
+    for i, n in enumerate(
+        "article main section div p h1 h2 h3 h4 li ul ol blockquote pre table td th dl dt dd figure figcaption nav header footer aside form fieldset button address details hidden"
+        " .ad .ads .advert .nav .menu .header .footer .sidebar .comments .comment .cookie .notice .content .post .article .related .share .banner .widget .subscribe .newsletter .search .login .copyright".split()
+    )
+}
 
 
 def _bin(name: str, size: int) -> tuple[int, float]:
-    """The bin and the sign of a hashed name."""
+    """The bin and the sign of a name."""
+    if size == PATH_BINS and name[1:] in NAMED:
+        return NAMED[name[1:]], 1.0
     known = _bins.get(name)
     if known is None:
         h = zlib.crc32(name.encode("utf-8", "surrogatepass"))
-        known = (h % size, 1.0 if h & 0x80000000 else -1.0)
+        own = len(NAMED) if size == PATH_BINS else 0
+        known = (own + h % (size - own), 1.0 if h & 0x80000000 else -1.0)
         if len(_bins) < 100_000:
             _bins[name] = known
     return known
@@ -157,7 +172,7 @@ def vectors(page: list[Block]) -> np.ndarray:
             known = np.zeros(PATH_BINS, np.float32)
             for depth, name in enumerate(b.path):
                 k, sign = _bin("/" + name, PATH_BINS)
-                known[k] += sign * (0.5 if depth + 1 < len(b.path) and not name.startswith(".") and name in ("div", "body", "html", "section") else 1.0)
+                known[k] += PATH_WEIGHT * sign * (0.5 if depth + 1 < len(b.path) and not name.startswith(".") and name in ("div", "body", "html", "section") else 1.0)
             paths[b.path] = known
         row[:PATH_BINS] = known
         words = WORD.findall(b.text[:400].lower())[:40]

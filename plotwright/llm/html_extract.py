@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches
 from .html_blocks import WIDTH, Block, blocks, vectors
 
-HIDDEN, PAGES, EPOCHS, BATCH, RATE, SEED = 24, 1600, 12, 32, 0.01, 11
+HIDDEN, PAGES, EPOCHS, BATCH, RATE, SEED = 24, 2400, 12, 32, 0.01, 12
 #: Blocks that are labelled at once.
 LABEL_BLOCKS = 20_000
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -130,7 +130,7 @@ class Labeller:
                 g1 = self.ways[1].backward(x[::-1], tape_back, d_both[::-1, :, k:])
                 grads = [*g0.values(), *g1.values(), np.einsum("tn,tnk->k", d, both), d.sum(keepdims=False).reshape(1)]
                 step += 1
-                lr = rate * (1 - 0.8 * epoch / epochs)
+                lr = rate * (1 - 0.97 * epoch / epochs)
                 for (_, v), m1, m2, g in zip(params, first, second, grads, strict=True):
                     m1 += 0.1 * (g - m1)
                     m2 += 0.001 * (g * g - m2)
@@ -177,8 +177,22 @@ def written_page(r: random.Random) -> tuple[str, list[bool]]:
     def word() -> str:
         return "".join(r.choice(pool) for _ in range(r.randint(1, 4)))
 
+    # some pages are noisy throughout: tables of words, capitals, signs, repeats
+    styles = ["plain"] * 5 + ["bars", "capitals", "signs", "repeats"]
+    usual = r.choice(styles)
+
     def sentence(low=4, high=22) -> str:
-        return " ".join(word() for _ in range(r.randint(low, high))).capitalize() + r.choice([".", ".", ".", "", "!", "###"])
+        words = [word() for _ in range(r.randint(low, high))]
+        style = usual if r.random() < 0.93 else r.choice(styles)
+        if style == "bars":
+            return " | ".join(words)
+        if style == "capitals":
+            return "!! ".join(words).upper() + "!!"
+        if style == "signs":
+            return " ".join(w + r.choice(["###", "%%%", "$$$", "***", "&amp;"]) for w in words)
+        if style == "repeats":
+            words = [w for w in words for _ in range(r.randint(1, 7))]
+        return " ".join(words).capitalize() + r.choice([".", ".", ".", "", "!"])
 
     def filled(text: str) -> str:
         return text.format(w=word(), s=sentence(2, 16), t=sentence(2, 6))
@@ -199,7 +213,7 @@ def written_page(r: random.Random) -> tuple[str, list[bool]]:
         if kind == "menu":
             out.append("<ul>")
             for _ in range(r.randint(2, 9)):
-                label = r.choice(MENU) if r.random() < 0.6 else word()
+                label = r.choice(MENU) if r.random() < 0.4 else word().capitalize()
                 block(f'<a href="/{word()}">{label}</a>', False, "li")
             out.append("</ul>")
         elif kind == "ad" and r.random() < 0.5 and not z.startswith("</p"):
@@ -207,7 +221,7 @@ def written_page(r: random.Random) -> tuple[str, list[bool]]:
             want.append(False)
         else:
             for _ in range(r.randint(1, 7 if kind == "comments" else 4)):
-                text = filled(r.choice(BOILER[kind]))
+                text = filled(r.choice(BOILER[kind])) if r.random() < 0.5 else sentence(1, 14)
                 if kind == "form" and r.random() < 0.6:
                     text = f"<label>{text}</label> <input name=q>"
                 elif kind in ("sidebar", "footer") and r.random() < 0.5:
@@ -222,7 +236,7 @@ def written_page(r: random.Random) -> tuple[str, list[bool]]:
         if r.random() < 0.8:
             block(title, True, r.choice(["h1", "h1", "h2"]))
         for k in range(r.randint(1, 14)):
-            if r.random() < 0.07:
+            if r.random() < 0.04:
                 inner(r.choice(["ad", "sidebar", "notice", "form"]))
             elif r.random() < 0.12:
                 block(sentence(2, 7), True, r.choice(["h2", "h3"]))
