@@ -37,8 +37,8 @@ def best_match(records: DataFrame, registry: DataFrame, id_col: str = "id", sour
     registry meet only on shared n-grams; n-grams that most rows share carry little weight but are not dropped.
     """
     r = registry.select(source_col, F.explode(grams(identity())).alias("gram")).groupBy(source_col, "gram").agg(F.count("*").alias("tf"))
-    n = registry.agg(F.count("*").alias("n"))
-    idf = r.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = registry.count()
+    idf = r.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
     def weighed(terms: DataFrame, key: str) -> DataFrame:
         w = terms.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))

@@ -64,10 +64,9 @@ def field_accuracy(fields: DataFrame) -> DataFrame:
 
 def overall_precision(corrections: DataFrame, fields: DataFrame) -> DataFrame:
     """Corrections, reviewed fields, and one less their ratio."""
-    c = corrections.agg(F.count("*").alias("corrections_total"))
-    f = fields.agg(count_where(F.col("status").isin(*REVIEWED)).alias("fields_reviewed"))
-    # two tables of one row
-    both = c.withColumn("one", F.lit(1)).join(f.withColumn("one", F.lit(1)), "one").drop("one")
+    c = corrections.select(F.lit(1).alias("c"), F.lit(0).alias("f"))
+    f = fields.select(F.lit(0).alias("c"), F.when(F.col("status").isin(*REVIEWED), 1).otherwise(0).alias("f"))
+    both = c.unionByName(f).agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for x, n in (("c", "corrections_total"), ("f", "fields_reviewed"))])
     return both.withColumn("extraction_precision", F.when(F.col("fields_reviewed") > 0, F.round(1 - F.col("corrections_total") / F.col("fields_reviewed"), 4)))
 
 

@@ -40,6 +40,8 @@ def test_every_oracle_has_its_query():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     cols = sorted(df.columns)
     got = sorted(([plain(r[c]) for c in cols] for r in df.collect()), key=repr)
     if name in ORACLES:
