@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from .bpe import PairTable, merge
 from .common import bounded_batches
 
-CACHE_WORDS, CACHE_CHARS = 250_000, 64
-MERGE_SYMBOLS = 2_000_000
+CACHE_WORDS, CACHE_CHARS = 120_000, 64
+MERGE_SYMBOLS = 400_000
 SPACE = r"\t-\r \x85\xa0  -     　"
 CODES_SCHEMA = "doc_id long, ids array<int>, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

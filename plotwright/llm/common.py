@@ -9,8 +9,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch. Bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 500
+#: Rows and bytes in one Arrow batch. They bound a Python worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 500, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold Arrow batches to `rows` rows for the plans made from here on."""
+    """Hold Arrow batches to `rows` rows and BATCH_BYTES for the plans made from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -33,7 +33,7 @@ SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Text bytes that are hashed at once, fingerprints gathered before they are packed, fingerprints of a bucket.
-CHUNK_BYTES, FLUSH, BUCKET = 4_000_000, 1_500_000, 3_000_000
+CHUNK_BYTES, FLUSH, BUCKET = 1_000_000, 1_000_000, 2_000_000
 #: The most classes in a chunk: their places fit in two bytes.
 CHUNK_ROWS = 60_000
 #: The most classes and fingerprints in one block of a candidate group.
