@@ -23,7 +23,10 @@ OLDEST_YEAR = 1850
 PATTERNED = ("khasra_number", "khata_number", "survey_number", "mutation_number", "registration_number", "ulpin")
 NAMED = ("owner_name", "father_name", "village", "tehsil", "district", "state", "land_classification")
 #: What a document type demands where it is not the whole schema.
-DEMANDED = {"plot_report": ("khasra_number", "khata_number", "owner_name", "area"), "power_of_attorney": ("owner_name",), "stamp_certificate": ()}
+DEMANDED = {
+    "plot_report": ("khasra_number", "area"), "power_of_attorney": ("owner_name", "village"), "sale_deed": ("owner_name", "village", "area"),
+    "mutation_order": ("owner_name", "village", "khasra_number"), "stamp_certificate": ("owner_name",),
+}
 
 
 def got(key: str) -> Column:
