@@ -29,8 +29,9 @@ KEY = ["doc", "hash"]
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, hash (of the text), pos (among lines with a word), raw (among all lines), id, words."""
     slim = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
-    each = slim.select("doc", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n", -1)).alias("raw", "line"))
-    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc", "hash", "raw", F.xxhash64("line").alias("id"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("int").alias("words"))
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("raw"), x.alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
+    each = slim.select("doc", F.xxhash64("text").alias("hash"), F.posexplode(F.filter(numbered, lambda x: x["words"] > 0)).alias("pos", "x"))
+    return each.select("doc", "hash", F.col("pos").cast("long").alias("pos"), "x.raw", F.xxhash64("x.line").alias("id"), F.col("x.words").alias("words"))
 
 
 def _groups(batches):
@@ -105,10 +106,9 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = cut(lines_of(docs, id_col, text_col))
     often = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("raw")).cast("long")
     # rows of one id and one text are one document
-    repeated = lines.dropDuplicates([*KEY, "raw"]).withColumn("pos", place).join(often, "id")
-    s = cut(_ranked(_stretches(repeated, min_words, n_parts), ["id"], "r0", n_parts).drop("id"))
+    repeated = lines.join(often, "id").dropDuplicates([*KEY, "pos"])
+    s = cut(_ranked(cut(_stretches(repeated, min_words, n_parts)), ["id"], "r0", n_parts).drop("id"))
     longest = s.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
     order, level, k = Window.partitionBy(*KEY).orderBy("pos"), 0, 1
     while 2 * k <= longest:
@@ -148,11 +148,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     bounded_batches(docs.sparkSession)
     gone = later_lines(docs, id_col, text_col, min_words).groupBy(*KEY).agg(F.sort_array(F.collect_set("raw")).alias("deleted_lines"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.col("deleted_lines").alias("_gone"))
+    gone = gone.select(F.col("doc").alias("_dedup_doc"), F.col("hash").alias("_dedup_hash"), F.col("deleted_lines").alias("_dedup_gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "deleted_lines")]
     named = docs.select(*kept)
-    joined = named.join(gone, named[id_col].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(named[text_col].cast("string")) == gone["_hash"]), "left")
+    joined = named.join(gone, named[id_col].cast("long").eqNullSafe(gone["_dedup_doc"]) & (F.xxhash64(named[text_col].cast("string")) == gone["_dedup_hash"]), "left")
     split = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("deleted_lines"))
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_dedup_gone"), i)), "\n")
+    text = F.when(F.col("_dedup_gone").isNull(), F.col(text_col)).otherwise(left)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_dedup_gone", F.array().cast("array<int>")).alias("deleted_lines"))
