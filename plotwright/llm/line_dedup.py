@@ -156,3 +156,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_dedup_gone"), i)), "\n")
     text = F.when(F.col("_dedup_gone").isNull(), F.col(text_col)).otherwise(left)
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_dedup_gone", F.array().cast("array<int>")).alias("deleted_lines"))
+
+
+#: The same by windows of lines written out, for small tables.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, text, str_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS raw, unnest(ls) AS line FROM d),
+k AS (SELECT doc_id, raw, line, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM k),
+ahead AS (SELECT a.doc_id, a.pos AS first, min(b.pos) AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.upto - a.upto + a.words >= 50 GROUP BY 1, 2),
+back AS (SELECT b.doc_id, max(a.pos) AS first, b.pos AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pos BETWEEN b.pos - 49 AND b.pos AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.pos),
+runs AS (SELECT * FROM ahead UNION SELECT * FROM back),
+named AS (SELECT r.doc_id, r.first, r.last, string_agg(c.line, chr(10) ORDER BY c.pos) AS run FROM runs r JOIN c ON c.doc_id = r.doc_id AND c.pos BETWEEN r.first AND r.last GROUP BY 1, 2, 3),
+later AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS rn FROM named) WHERE rn > 1),
+gone AS (SELECT DISTINCT c.doc_id, c.raw FROM later r JOIN c ON c.doc_id = r.doc_id AND c.pos BETWEEN r.first AND r.last),
+g AS (SELECT doc_id, list(raw ORDER BY raw) AS raws FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN raws IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(raws, i)), lambda i: ls[i]), chr(10)) END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines,
+  coalesce(array_to_string(list_transform(raws, lambda i: i - 1), ','), '') AS deleted_lines FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -465,3 +465,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = member.join(found, "key", "left").withColumn("root", F.coalesce("other", "key"))
     name = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")).where("rows > 1")
     return rooted.join(name, "root", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
+
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All pairs that share a shingle, and reachability by recursion: for small tables only.
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(rid, other) AS (SELECT rid, rid FROM w UNION SELECT r.rid, e.y FROM r JOIN e ON r.other = e.x)
+SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, coalesce(min(o.doc_id), w.doc_id) AS component_id FROM w JOIN r ON r.rid = w.rid JOIN w o ON o.rid = r.other LEFT JOIN n ON n.rid = w.rid GROUP BY w.rid, w.doc_id
+"""

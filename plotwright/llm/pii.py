@@ -34,7 +34,6 @@ LOOSE = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None),
     ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?", ". "),
 )
-DIGITS_NEEDED = r"[0-9]{3}"
 #: Gazetteers and cue words, fixed lists.
 KNOWN = {
     "email": r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu)$",

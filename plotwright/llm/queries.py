@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe_codec, chat_format, decontaminate, html_extract, line_dedup, ngram_join, pii, quality, token_counts, toxicity
 from .common import table
@@ -49,11 +50,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "deleted_lines")
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", F.array_join(F.transform("deleted_lines", lambda x: x.cast("string")), ",").alias("deleted_lines"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_token_counts, op3_chat_format, op4_pii, op5_decontamination, op6_bpe_codec, op7_html_extraction, op8_toxicity, op9_ngram_join, op10_line_dedup)
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_chat_format": chat_format.ORACLE}
+ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_chat_format": chat_format.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE}

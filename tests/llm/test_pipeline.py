@@ -48,3 +48,26 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_on_awkward_rows(spark):
+    from tests.llm.test_operators import DOCS, ODD
+
+    rows = [(i, t, None, None, None) for i, t in enumerate(ODD)] + [(None, "same words here and there", "en", "s", 1)] * 2 + [(3, "one", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS key", "'x' AS n_lines")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "n_lines"], name
+    left = docs.collect()
+    assert {None, 3} <= {r.doc_id for r in left} and sum(r.text == "a b c" for r in left) == 1
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(coded) == len(left)
+
+
+def test_stages_on_empty_tables(spark):
+    from tests.llm.test_operators import DOCS
+
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.collect() == []
