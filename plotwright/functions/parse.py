@@ -89,6 +89,6 @@ def parse_area(raw: Column) -> Column:
 
 def land_class(value: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """The code whose longest word stands in the value, null if none does; ties go to the code listed first."""
-    low = F.lower(normalise(value))
     order = sorted(((w, code, i) for i, (code, ws) in enumerate(table.items()) for w in ws), key=lambda x: (-len(x[0]), x[2]))
-    return F.coalesce(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(code)) for w, code, _ in order])
+    words = F.array(*[F.struct(F.lit(w.lower()).alias("word"), F.lit(code).alias("code")) for w, code, _ in order])
+    return let(F.lower(normalise(value)), lambda low: F.get(F.filter(words, lambda x: F.contains(low, x["word"])), 0)["code"])
