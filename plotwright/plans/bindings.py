@@ -22,14 +22,14 @@ SELECT o_orderkey AS id, concat('record-', o_orderkey, '.pdf') AS filename,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey * 37 % 1001 AS DOUBLE) / 10 END AS trust_score,
   CAST(o_custkey % 101 AS DOUBLE) AS legibility, CAST(o_orderkey % 97 AS DOUBLE) / 100 AS mean_ocr_conf,
   1 + o_orderkey % 4 AS page_count, o_orderkey % 5000 AS processing_ms, o_orderdate AS uploaded_at,
-  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS ocr_engine, o_custkey AS uploaded_by,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS ocr_engine, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_custkey END AS uploaded_by,
   CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS error_count, o_orderkey % 3 AS warning_count,
   CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE concat(o_custkey % 500, '|', o_orderkey % 40, '|', o_orderpriority) END AS signature
 FROM {orders}""",
     "rec_users": """
 SELECT c_custkey AS id, concat('user', c_custkey) AS username, c_name AS full_name,
   CASE c_custkey % 4 WHEN 0 THEN 'operator' WHEN 1 THEN 'verifier' WHEN 2 THEN 'admin' ELSE 'auditor' END AS role, c_mktsegment AS office
-FROM {customer} WHERE c_custkey % 10 <> 3""",
+FROM {customer}""",
     # seven extracted fields per record
     "rec_fields": """
 SELECT document_id, k, CASE k WHEN 0 THEN 'khasra_number' WHEN 1 THEN 'owner_name' WHEN 2 THEN 'village' WHEN 3 THEN 'tehsil' WHEN 4 THEN 'district' WHEN 5 THEN 'area' ELSE 'land_classification' END AS field_key,
@@ -93,11 +93,11 @@ FROM {supplier}""",
     "admin": """
 SELECT DISTINCT r_name AS state, n_name AS district, c_mktsegment AS tehsil, concat('village ', c_custkey % 60) AS village
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
-    # eight registry rows, as customers would be entered
+    # a small registry: one parcel per nation
     "registry": """
-SELECT concat('REG-', c_custkey) AS source_id, concat(c_custkey % 500, '/', 1 + c_custkey % 9) AS khasra_number, concat('', c_custkey % 3000) AS khata_number, concat('village ', c_custkey % 60) AS village, n_name AS district,
-  c_name AS owner_name, CAST(1000 + c_custkey % 9 * 700 AS DOUBLE) AS area_sqm, CASE c_custkey % 3 WHEN 0 THEN 'residential' WHEN 1 THEN 'forest' ELSE 'barren' END AS land_classification
-FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey <= 40""",
+SELECT concat('REG-', n) AS source_id, concat(n, '/', 1 + n_nationkey % 9) AS khasra_number, concat('', n) AS khata_number, concat('village ', n % 60) AS village, n_name AS district,
+  CASE WHEN n_nationkey % 2 = 0 THEN concat('Customer#', lpad(concat('', n), 9, '0')) ELSE 'Someone Else' END AS owner_name, CAST(1000 + n_nationkey % 9 * 700 AS DOUBLE) AS area_sqm, CASE n_nationkey % 3 WHEN 0 THEN 'residential' WHEN 1 THEN 'forest' ELSE 'barren' END AS land_classification
+FROM (SELECT *, CAST(n_nationkey AS BIGINT) * 6 AS n FROM {nation}) x""",
     # heights sampled under the footprint of each supplier's building
     "heights": """
 SELECT l_suppkey AS footprint_id, CASE WHEN l_partkey % 50 = 0 THEN -99.0 ELSE l_quantity * 0.3 - 0.5 END AS height_m

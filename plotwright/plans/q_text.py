@@ -277,12 +277,12 @@ def learn_recalibrate(spark, sf):
     return learning.apply_calibration(f.withColumn("ai_confidence", F.coalesce("ai_confidence", F.lit(0.0))), m).select("document_id", "field_key", "new_confidence", "new_status")
 
 
-@query(ctes("registry") + """, f AS (SELECT c_custkey AS id, concat('village ', c_custkey % 60) AS village, replace(concat(c_custkey % 500, '/', 1 + c_custkey % 9), '1', '4') AS value FROM customer WHERE c_custkey <= 80),
+@query(ctes("registry") + """, f AS (SELECT c_custkey AS id, concat('village ', c_custkey % 60) AS village, replace(concat(c_custkey % 500, '/', 1 + c_custkey % 9), '1', '4') AS value FROM customer),
 v AS (SELECT id, village, value, value AS variant FROM f UNION SELECT id, village, value, substr(value, 1, i - 1) || '1' || substr(value, i + 1) FROM (SELECT *, unnest(range(1, length(value) + 1)) AS i FROM f) WHERE substr(value, i, 1) = '4'),
 h AS (SELECT v.id, v.village, v.value, max((variant = value AND k.khasra_number IS NOT NULL)::INT) AS own, list_sort(list(DISTINCT variant) FILTER (variant <> value AND k.khasra_number IS NOT NULL)) AS hits FROM v LEFT JOIN (SELECT DISTINCT village, khasra_number FROM registry) k ON k.village = v.village AND k.khasra_number = variant GROUP BY v.id, v.village, v.value)
 SELECT id, village, value, CASE WHEN own = 1 THEN 'vouched' WHEN len(hits) = 1 THEN 'repaired' WHEN len(hits) > 1 THEN 'ambiguous' ELSE 'unknown' END AS outcome, CASE WHEN own = 0 AND len(hits) = 1 THEN hits[1] ELSE value END AS new_value FROM h""")
 def learn_repair(spark, sf):
-    c = base(spark, sf, "customer").where("c_custkey <= 80")
+    c = base(spark, sf, "customer")
     f = c.selectExpr("c_custkey AS id", "concat('village ', c_custkey % 60) AS village", "replace(concat(c_custkey % 500, '/', 1 + c_custkey % 9), '1', '4') AS value")
     return learning.repair(f, frame(spark, sf, "registry"), [("4", "1")])
 
