@@ -77,8 +77,10 @@ class PieceCounter:
         cache = self.cache
         new = {w for ws in split for w in ws if w not in cache}
         if len(cache) + len(new) > CACHE_WORDS:
+            # the words of this batch stay: they hold the frequent ones
+            used = {w: cache[w] for ws in split for w in ws if w in cache}
             cache.clear()
-            new = {w for ws in split for w in ws}
+            cache.update(used)
         fresh = dict(self._merge(list(new)))
         out = []
         if not new:
