@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from .bpe import PairTable, merge
 from .common import bounded_batches
 
-CACHE_WORDS, CACHE_CHARS = 120_000, 64
-MERGE_SYMBOLS = 400_000
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
+MERGE_SYMBOLS = 800_000
 SPACE = r"\t-\r \x85\xa0  -     　"
 CODES_SCHEMA = "doc_id long, ids array<int>, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -102,8 +102,10 @@ class WordCodec:
         cache = self.cache
         new = {w for ws in split for w in ws if w not in cache}
         if len(cache) + len(new) > CACHE_WORDS:
+            # the words of this batch stay: they hold the frequent ones
+            used = {w: cache[w] for ws in split for w in ws if w in cache}
             cache.clear()
-            new = {w for ws in split for w in ws}
+            cache.update(used)
         fresh: dict[str, tuple[str, str, int]] = {}
         for w in [w for w in new if w[0] == "\0" and w[1:] in self.special]:
             new.discard(w)
