@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lets import let
+
 RING = "array<struct<x:double,y:double>>"
 # Metres in a degree.
 M_PER_DEG_LAT, M_PER_DEG_LON = 110_540.0, 111_320.0
@@ -79,17 +81,25 @@ def on_side(a: Column, b: Column, p: Column, tol: float = TOLERANCE) -> Column:
     return (F.abs(_cross(a, b, p)) <= reach * tol) & within
 
 
-def side_of(p: Column, ring: Column) -> Column:
-    """inside, boundary or outside, by a ray along x; outside with fewer than three points."""
-    sides = edges(ring)
-    touching = F.exists(sides, lambda e: on_side(e["a"], e["b"], p))
+def _side(p: Column, sides: Column) -> Column:
+    """inside, boundary or outside of a ring given by its sides."""
 
     def passed(e: Column) -> Column:
         a, b = e["a"], e["b"]
         return ((a["y"] > p["y"]) != (b["y"] > p["y"])) & (p["x"] < a["x"] + F.try_divide(p["y"] - a["y"], b["y"] - a["y"]) * (b["x"] - a["x"]))
 
-    hits = F.size(F.filter(sides, passed))
-    return F.when(F.size(opened(ring)) < 3, "outside").when(touching, "boundary").when(hits % 2 == 1, "inside").otherwise("outside")
+    touching = F.exists(sides, lambda e: on_side(e["a"], e["b"], p))
+    return F.when(F.size(sides) < 3, "outside").when(touching, "boundary").when(F.size(F.filter(sides, passed)) % 2 == 1, "inside").otherwise("outside")
+
+
+def side_of(p: Column, ring: Column) -> Column:
+    """inside, boundary or outside, by a ray along x; outside with fewer than three points."""
+    return let(edges(ring), lambda sides: _side(p, sides))
+
+
+def corner_sides(r: Column, s: Column) -> Column:
+    """For each corner of r where it lies in s; the sides of s are made once."""
+    return let(edges(s), lambda sides: F.transform(opened(r), lambda p: _side(p, sides)))
 
 
 def sides_cross(a: Column, b: Column, c: Column, d: Column, tol: float = 1e-12) -> Column:
@@ -102,26 +112,28 @@ def sides_cross(a: Column, b: Column, c: Column, d: Column, tol: float = 1e-12)
 
 
 def rings_cross(r: Column, s: Column) -> Column:
-    return F.exists(edges(r), lambda e: F.exists(edges(s), lambda f: sides_cross(e["a"], e["b"], f["a"], f["b"])))
+    return let(edges(s), lambda sides: F.exists(edges(r), lambda e: F.exists(sides, lambda f: sides_cross(e["a"], e["b"], f["a"], f["b"]))))
 
 
-def corners_inside(r: Column, s: Column) -> Column:
-    """How many corners of r lie inside s."""
-    return F.size(F.filter(opened(r), lambda p: side_of(p, s) == "inside"))
+def _holds(outer_area: Column, inner_area: Column, where: Column) -> Column:
+    return (outer_area > inner_area) & ~F.array_contains(where, "outside") & F.array_contains(where, "inside")
 
 
 def contains(outer: Column, inner: Column) -> Column:
     """Whether inner lies in outer: a smaller ring, no corner outside, one inside."""
-    where = F.transform(opened(inner), lambda p: side_of(p, outer))
-    return (area(outer) > area(inner)) & ~F.array_contains(where, "outside") & F.array_contains(where, "inside")
+    return let(corner_sides(inner, outer), lambda where: _holds(area(outer), area(inner), where))
 
 
 def overlap_kind(r: Column, s: Column) -> Column:
     """overlap, sliver, or null: shared interior that is no containment; a sliver has no crossing and one corner inside at most."""
-    deep = corners_inside(r, s) + corners_inside(s, r)
-    crossing = rings_cross(r, s)
-    shared = (deep > 0) | crossing
-    return F.when(contains(r, s) | contains(s, r), None).when(shared & (crossing | (deep > 1)), "overlap").when(shared, "sliver")
+    seen = F.struct(corner_sides(r, s).alias("r"), corner_sides(s, r).alias("s"), rings_cross(r, s).alias("crossing"), area(r).alias("ra"), area(s).alias("sa"))
+
+    def kind(k: Column) -> Column:
+        deep = F.size(F.filter(k["r"], lambda x: x == "inside")) + F.size(F.filter(k["s"], lambda x: x == "inside"))
+        held = _holds(k["sa"], k["ra"], k["r"]) | _holds(k["ra"], k["sa"], k["s"])
+        return F.when(held, None).when(k["crossing"] | (deep > 1), "overlap").when(deep > 0, "sliver")
+
+    return let(seen, kind)
 
 
 def problems(ring: Column) -> Column:

@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lets import let
 from .text import normalise
 from .vocab import ENGLISH_MONTHS, HINDI_MONTHS, REGIONAL, SPELLINGS, SQM
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` over a value that is evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _iso(y: Column, m: Column, d: Column) -> Column:
     return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0"))
 

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import let, parse_area
+from ..functions.lets import let
+from ..functions.parse import parse_area
 from ..functions.text import compare_key, looks_like_placeholder, normalise
 from ..functions.vocab import FIELD, IDENTIFIERS, LAND_CLASSES, PLACEHOLDERS, REQUIRED
 

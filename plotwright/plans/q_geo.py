@@ -100,9 +100,16 @@ def topo_overlaps(spark, sf):
     return topology.overlaps(_parcels(spark, sf), 1.0).select("a", "b")
 
 
-@query(ctes(PARCELS) + f"SELECT a.parcel_id AS outer, b.parcel_id AS inner FROM parcels a JOIN parcels b ON a.parcel_id <> b.parcel_id AND {_BA} WHERE (a.x1 - a.x0) * (a.y1 - a.y0) > (b.x1 - b.x0) * (b.y1 - b.y0) AND (b.x0 > a.x0 AND b.y0 > a.y0 OR b.x1 < a.x1 AND b.y1 < a.y1 OR b.x0 > a.x0 AND b.y1 < a.y1 OR b.x1 < a.x1 AND b.y0 > a.y0)".replace("AS outer", 'AS "outer"').replace("AS inner", 'AS "inner"'))
+@query(ctes(PARCELS) + """, boxes AS (SELECT parcel_id, x0, y0, x1, y1 FROM parcels UNION ALL SELECT parcel_id + 10000000, x0 + 0.1, y0 + 0.1, x1 - 0.1, y1 - 0.1 FROM parcels)
+SELECT a.parcel_id AS "outer", b.parcel_id AS "inner" FROM boxes a JOIN boxes b ON a.parcel_id <> b.parcel_id AND b.x0 >= a.x0 - 1e-9 AND b.y0 >= a.y0 - 1e-9 AND b.x1 <= a.x1 + 1e-9 AND b.y1 <= a.y1 + 1e-9
+WHERE (a.x1 - a.x0) * (a.y1 - a.y0) > (b.x1 - b.x0) * (b.y1 - b.y0)
+  AND (b.x0 > a.x0 + 1e-9 AND b.y0 > a.y0 + 1e-9 OR b.x1 < a.x1 - 1e-9 AND b.y1 < a.y1 - 1e-9 OR b.x0 > a.x0 + 1e-9 AND b.y1 < a.y1 - 1e-9 OR b.x1 < a.x1 - 1e-9 AND b.y0 > a.y0 + 1e-9)""")
 def topo_containments(spark, sf):
-    return topology.containments(_parcels(spark, sf), 1.0)
+    """Parcels and a smaller box inside each."""
+    p = frame(spark, sf, PARCELS).select("parcel_id", "x0", "y0", "x1", "y1")
+    inner = p.selectExpr("parcel_id + 10000000 AS parcel_id", "x0 + 0.1D AS x0", "y0 + 0.1D AS y0", "x1 - 0.1D AS x1", "y1 - 0.1D AS y1")
+    both = p.unionByName(inner).withColumn("ring", g.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+    return topology.containments(both, 1.0)
 
 
 @query(ctes(PARCELS) + """, c AS (SELECT parcel_id, unnest([0, 1, 2, 3]) AS n, unnest([x0, x1, x1, x0]) AS x, unnest([y0, y0, y1, y1]) AS y FROM parcels)
