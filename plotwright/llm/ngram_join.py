@@ -216,14 +216,16 @@ def postings(docs: DataFrame, text_col: str, n_parts: int) -> DataFrame:
 def _shared(dealt: DataFrame, n_parts: int) -> DataFrame:
     """Of each part the fingerprints that two entries or more have, with their number, back to their chunks.
 
-    A class in several chunks counts in each: its document frequency is then too high, which costs
-    a candidate, never a link.
+    Chunks of the same classes in the same order have one name and one content, of which one goes on.
+    A class in several other chunks counts in each: its document frequency is then too high, which
+    costs a candidate, never a link.
     """
 
     def rows(batches):
         for part, payloads in _by_part(batches):
-            entries = [x for x in payloads if len(x) == 4]
-            for chunk, *rest in (x for x in payloads if len(x) == 3):
+            once = {(len(x), int(x[0][0])): x for x in payloads}.values()
+            entries = [x for x in once if len(x) == 4]
+            for chunk, *rest in (x for x in once if len(x) == 3):
                 yield _record([(int(chunk.view(np.uint64)[0] % U(n_parts)), pack(chunk, *rest))], *PARTS)
             if not entries:
                 continue
@@ -275,10 +277,9 @@ def _active(shared: DataFrame, n_parts: int) -> DataFrame:
         for _, payloads in _by_part(batches):
             place, keys, sizes = {}, [], []
             for chunk, k, n in (x for x in payloads if len(x) == 3):
-                if int(chunk[0]) not in place:
-                    place[int(chunk[0])] = sum(map(len, keys))
-                    keys.append(k)
-                    sizes.append(n)
+                place[int(chunk[0])] = sum(map(len, keys))
+                keys.append(k)
+                sizes.append(n)
             entries = [x for x in payloads if len(x) == 6]
             if not entries:
                 continue

@@ -277,6 +277,24 @@ def test_jaccard_components(spark, monkeypatch, blocks):
     assert got == brute_components(texts, range(100, 100 + len(texts)))
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_jaccard_of_copies_alone_in_their_partitions(spark, twice):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(900)]
+    base = [r.choice(words) for _ in range(100)]
+    texts = [" ".join(base)] * 3 + [" ".join(base[:75] + [r.choice(words) for _ in range(25)])] * 3
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], len(texts)), DOCS)
+    assert docs.rdd.getNumPartitions() == len(texts)
+    ids = [*range(len(texts))]
+    if twice:
+        more = near_copies(9)
+        docs = docs.union(frame(spark, more, 100))
+        docs = docs.union(docs)
+        texts, ids = (texts + more) * 2, [*ids, *range(100, 100 + len(more))] * 2
+    got = rows(ngram_join.jaccard_components(docs), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(texts, ids)
+
+
 def brute_dedup(texts, least=50):
     lines = [[x for x in enumerate((t or "").split("\n")) if WORDS.search(x[1])] if t is not None else [] for t in texts]
     flat = [[x[1] for x in ls] for ls in lines]
