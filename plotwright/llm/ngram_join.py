@@ -12,8 +12,9 @@
    bound. Groups over a size bound are split in blocks that meet pairwise, so no task holds more
    than two blocks. Only links between parts that are not yet connected are looked for.
 
-Fingerprints travel as the number of their part and 40 bits: two different shingles of a pair of
-documents are taken for one with a chance under 1e-12, the less the larger the corpus.
+Fingerprints travel as the number of their part and 40 bits: two different shingles are taken for
+one with a chance of 2 ** -40 over the number of parts, a pair of documents of 1000 shingles each has
+such a case with a chance of about 1e-6 over the number of parts.
 """
 
 from __future__ import annotations
@@ -250,14 +251,19 @@ def _shared(dealt: DataFrame, n_parts: int) -> DataFrame:
     return dealt.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(rows, "part int, payload binary")
 
 
-def _six(token: np.ndarray) -> bytes:
-    """Fingerprints under 2 ** 48, six bytes each."""
-    return np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _width(n_parts: int) -> int:
+    """Bytes of a fingerprint: five for its 40 bits, and what the number of its part needs."""
+    return 5 + max(1, -(-(n_parts - 1).bit_length() // 8))
 
 
-def _unsix(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+def _narrow(token: np.ndarray, width: int) -> bytes:
+    """Fingerprints under 256 ** width, `width` bytes each."""
+    return np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
     return out.view(np.uint64).ravel()
 
 
@@ -272,6 +278,7 @@ def _active(shared: DataFrame, n_parts: int) -> DataFrame:
 
     A class of several chunks comes once for each.
     """
+    width = _width(n_parts)
 
     def rows(batches):
         for _, payloads in _by_part(batches):
@@ -296,7 +303,7 @@ def _active(shared: DataFrame, n_parts: int) -> DataFrame:
             first, last = np.searchsorted(entry, ids), np.searchsorted(entry, ids, "right")
             out = []
             for i, a, z in zip(ids.tolist(), first.tolist(), last.tolist(), strict=True):
-                out.append((int(keys[i]), int(sizes[i]), z - a, _six(token[a:z])))
+                out.append((int(keys[i]), int(sizes[i]), z - a, _narrow(token[a:z], width)))
                 if len(out) == 500:
                     yield _record(out, *KINDS)
                     out = []
@@ -305,14 +312,14 @@ def _active(shared: DataFrame, n_parts: int) -> DataFrame:
     return shared.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(rows, ACTIVE)
 
 
-def _prefixes(active: DataFrame) -> DataFrame:
+def _prefixes(active: DataFrame, width: int) -> DataFrame:
     """token and key for the prefix of each class: two that are linked share one of these."""
 
     def rows(batches):
         for b in batches:
             token, key = [], []
             for k, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                t = _unsix(blob.as_py())
+                t = _wide(blob.as_py(), width)
                 # fingerprints of one class only come first in the order and take up their part of the prefix
                 m = n - -(-PERCENT * n // 100) + 1 - (n - len(t))
                 token.append(t[: max(0, m)].view(np.int64))
@@ -404,12 +411,12 @@ def join_group(sizes: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _joined(groups: DataFrame, n_parts: int) -> DataFrame:
+def _joined(groups: DataFrame, n_parts: int, width: int) -> DataFrame:
     """key and other: a star around the smallest key of each component inside a group."""
 
     def finish(held):
         keys = np.array([h[0] for h in held], np.int64)
-        label = join_group(np.array([h[1] for h in held]), [_unsix(h[2]) for h in held])
+        label = join_group(np.array([h[1] for h in held]), [_wide(h[2], width) for h in held])
         low = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(low, label, keys)
         other = low[label]
@@ -449,7 +456,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = member.where("key IS NOT NULL").groupBy("key").agg(F.max("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
     n_parts = max(least, -(-total // BUCKET))
     active = cut(_active(_shared(postings(docs, text_col, n_parts), n_parts), n_parts))
-    prefix = _prefixes(active)
+    prefix = _prefixes(active, _width(n_parts))
     heads = prefix.groupBy("token").agg(F.min("key").alias("other"), F.count("*").alias("times")).where("times > 1").drop("times")
     near = prefix.join(heads, "token").where("key <> other").select("key", "other").distinct()
     group = components(near, "key", "other")
@@ -460,7 +467,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("i"), F.greatest(x, F.col("b")).alias("j")))
     # the split is told on the keys alone, so that the sets move once
     split = group.join(blocks, "comp").withColumn("b", own).withColumn("pair", F.explode(pairs)).selectExpr("comp", "pair.i AS i", "pair.j AS j", "key")
-    found = cut(_joined(split.join(active.select("key", "n", "tokens"), "key"), least).distinct())
+    found = cut(_joined(split.join(active.select("key", "n", "tokens"), "key"), least, _width(n_parts)).distinct())
     if blocks.where("blocks > 1").limit(1).count():
         found = components(found, "key", "other").where("node <> root").selectExpr("node AS key", "root AS other")
     rooted = member.join(found, "key", "left").withColumn("root", F.coalesce("other", "key"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -88,6 +89,14 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+@pytest.mark.parametrize(("n_parts", "width"), [(1, 6), (256, 6), (257, 7), (65536, 7), (65537, 8)])
+def test_names_of_all_parts_differ(n_parts, width):
+    parts = np.unique([0, (n_parts - 1) % 256, n_parts - 1]).astype(np.uint64)
+    token = parts << np.uint64(40) | np.uint64(12345)
+    assert ngram_join._width(n_parts) == width
+    assert ngram_join._wide(ngram_join._narrow(token, width), width).tolist() == token.tolist()
+
+
 def test_windows_cover_each_word_once():
     texts = ["one two three four five six", "", "  a\tb ", "x" * 300]
     padded = [t + " " * toxicity.TAIL for t in texts]
