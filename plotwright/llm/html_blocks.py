@@ -49,7 +49,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
                 if "display:none" in value.replace(" ", ""):
                     out.append("hidden")
             else:
-                out += [f".{n}" for n in NAME.findall(value)[:8]]
+                out += [f".{n}" for n in dict.fromkeys(NAME.findall(value))]
     return tuple(out)
 
 
@@ -158,6 +158,20 @@ def _bin(name: str, size: int) -> tuple[int, float]:
     return known
 
 
+def _shares(path: tuple[str, ...]) -> list[float]:
+    """The weight of each name: class names that share bins weigh less the more of them one element has."""
+    out = [1.0] * len(path)
+    many: list[int] = []
+    for i, name in enumerate((*path, "")):
+        if not name.startswith("."):
+            for k in many:
+                out[k] = 1 / len(many)
+            many = []
+        elif name not in NAMED:
+            many.append(i)
+    return out
+
+
 WIDTH = PATH_BINS + WORD_BINS + NUMBERS
 
 
@@ -170,9 +184,9 @@ def vectors(page: list[Block]) -> np.ndarray:
         known = paths.get(b.path)
         if known is None:
             known = np.zeros(PATH_BINS, np.float32)
-            for depth, name in enumerate(b.path):
+            for depth, (name, share) in enumerate(zip(b.path, _shares(b.path), strict=True)):
                 k, sign = _bin("/" + name, PATH_BINS)
-                known[k] += PATH_WEIGHT * sign * (0.5 if depth + 1 < len(b.path) and not name.startswith(".") and name in ("div", "body", "html", "section") else 1.0)
+                known[k] += PATH_WEIGHT * sign * share * (0.5 if depth + 1 < len(b.path) and not name.startswith(".") and name in ("div", "body", "html", "section") else 1.0)
             paths[b.path] = known
         row[:PATH_BINS] = known
         words = WORD.findall(b.text[:400].lower())[:40]

@@ -9,6 +9,7 @@ many layouts with known labels; no page of the input is needed for training.
 from __future__ import annotations
 
 import random
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,8 @@ from .common import bounded_batches
 from .html_blocks import WIDTH, Block, blocks, vectors
 
 HIDDEN, PAGES, EPOCHS, BATCH, RATE, SEED = 24, 2400, 12, 32, 0.01, 12
+#: Written pages besides whose elements have long lists of classes.
+DRESSED = 600
 #: Blocks that are labelled at once.
 LABEL_BLOCKS = 20_000
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -160,19 +163,33 @@ NAMES = {
     "form": ["form", "form.search", "form.newsletter", "div.subscribe", "form.login"],
 }
 MAIN = ["article", "main", "div.content", "div#content", "div.post", "div.article-body", "div.entry-content", "section.article", "div.story", "article.post", "div.main", "div.text", "div"]
+#: What grids and utility classes are named; they say nothing of the text.
+UTILITY = "col row grid flex xs sm md lg xl px py mt mb pt pb text bg border rounded shadow max min auto items center between justify font bold gap is has js clearfix fluid w h u l hover focus active top left".split()
 
 
-def _opened(name: str) -> tuple[str, str]:
-    """Opening and closing tag of a name such as div.ad or div#top."""
+def _opened(name: str, before: str = "", after: str = "") -> tuple[str, str]:
+    """Opening and closing tag of a name such as div.ad or div#top, its class between others."""
     tag = name.split(".")[0].split("#")[0]
     rest = name[len(tag) :]
-    attr = f' class="{rest[1:]}"' if rest.startswith(".") else f' id="{rest[1:]}"' if rest else ""
+    of_class = " ".join(x for x in (before, rest[1:] if rest.startswith(".") else "", after) if x)
+    attr = (f' class="{of_class}"' if of_class else "") + (f' id="{rest[1:]}"' if rest.startswith("#") else "")
     return f"<{tag}{attr}>", f"</{tag}>"
 
 
-def written_page(r: random.Random) -> tuple[str, list[bool]]:
-    """A page in some layout and, for each block that it will give, whether that is main text."""
+def written_page(r: random.Random, dressed: bool = False) -> tuple[str, list[bool]]:
+    """A page in some layout and, for each block that it will give, whether that is main text.
+
+    A dressed page has long lists of classes, mostly before the one that tells something.
+    """
     pool = r.sample(SYLLABLES, 14)
+    # each site has made some up
+    usable = UTILITY + ["".join(r.choices(string.ascii_lowercase, k=r.randint(1, 8))) for _ in range(30)] if dressed else []
+
+    def classes() -> str:
+        return " ".join("-".join([*r.choices(usable, k=r.randint(1, 2)), str(r.randint(1, 12))]) for _ in range(r.randint(1, 14)))
+
+    def opened(name: str) -> tuple[str, str]:
+        return _opened(name, classes(), classes() if r.random() < 0.3 else "") if dressed else _opened(name)
 
     def word() -> str:
         return "".join(r.choice(pool) for _ in range(r.randint(1, 4)))
@@ -206,7 +223,7 @@ def written_page(r: random.Random) -> tuple[str, list[bool]]:
             want.append(main)
 
     def inner(kind: str) -> None:
-        a, z = _opened(r.choice(NAMES[kind]))
+        a, z = opened(r.choice(NAMES[kind]))
         if r.random() < 0.15:
             a, z = "<div>" + a, z + "</div>"
         out.append(a)
@@ -230,7 +247,7 @@ def written_page(r: random.Random) -> tuple[str, list[bool]]:
         out.append(z)
 
     def body() -> None:
-        a, z = _opened(r.choice(MAIN))
+        a, z = opened(r.choice(MAIN))
         out.append(a)
         title = sentence(2, 10)
         if r.random() < 0.8:
@@ -270,11 +287,11 @@ def written_page(r: random.Random) -> tuple[str, list[bool]]:
 
 @lru_cache(maxsize=1)
 def trained(pages: int = PAGES, seed: int = SEED) -> Labeller:
-    """The labeller, trained on `pages` written pages; the same on every machine."""
+    """The labeller, trained on `pages` written pages and DRESSED ones; the same on every machine."""
     r = random.Random(seed)
     x, y = [], []
-    while len(x) < pages:
-        page, want = written_page(r)
+    while len(x) < pages + DRESSED:
+        page, want = written_page(r, len(x) >= pages)
         found = blocks(page)
         if len(found) == len(want):
             x.append(vectors(found))

@@ -373,6 +373,22 @@ def test_html_labels_unseen_layouts():
     assert hit / total > 0.97
 
 
+@pytest.mark.parametrize("names", [None, "tw elementor vc uk mdc ant chakra span offset pull push order inline wrap leading tracking ring dark even odd cell large medium small".split()])
+def test_html_labels_among_long_class_lists(monkeypatch, names):
+    model = html_extract.trained()
+    if names:
+        monkeypatch.setattr(html_extract, "UTILITY", names)
+    r, hit, total = random.Random(97), 0, 0
+    for _ in range(150):
+        page, want = html_extract.written_page(r, dressed=True)
+        found = html_extract.blocks(page)
+        assert len(found) == len(want)
+        score = model.label([html_extract.vectors(found)])[0]
+        hit += sum((s >= 0.5) == w for s, w in zip(score, want))
+        total += len(want)
+    assert hit / total > 0.97
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

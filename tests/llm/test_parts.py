@@ -113,3 +113,8 @@ def test_blocks_of_awkward_pages():
     assert b('<a title="x>y">t</a><br>u<!-- <p>no</p> --><script>var a="</p><p>";</script>v') == ["t uv"]
     assert b("<p>a &lt;b&gt; &eacute;&#8364;&nbsp;x\n\t y</p><style>p{}") == ["a <b> é€ x y"]
     assert html_blocks.blocks("<nav><ul><li><a href=x>m</a></ul></nav><p>t")[1].path == ("p",)
+
+
+def test_every_class_name_is_on_the_path():
+    path = html_blocks.blocks('<div class="col-xs-12 col-sm-6 col-md-4 col-lg-3 px-2 sidebar">t</div>')[0].path
+    assert path == ("div", ".col", ".xs", ".sm", ".md", ".lg", ".px", ".sidebar")
