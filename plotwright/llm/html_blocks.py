@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -176,7 +177,7 @@ WIDTH = PATH_BINS + WORD_BINS + NUMBERS
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """A row for each block: hashed tag path, hashed words, and numbers such as length and link share."""
+    """A row for each block: hashed tag path, all its words hashed, and numbers such as length and link share."""
     x = np.zeros((len(page), WIDTH), np.float32)
     paths: dict[tuple[str, ...], np.ndarray] = {}
     for r, b in enumerate(page):
@@ -189,12 +190,14 @@ def vectors(page: list[Block]) -> np.ndarray:
                 known[k] += PATH_WEIGHT * sign * share * (0.5 if depth + 1 < len(b.path) and not name.startswith(".") and name in ("div", "body", "html", "section") else 1.0)
             paths[b.path] = known
         row[:PATH_BINS] = known
-        words = WORD.findall(b.text[:400].lower())[:40]
-        for w in words:
-            k, sign = _bin(w, WORD_BINS)
-            row[PATH_BINS + k] += sign
+        words = Counter(WORD.findall(b.text.lower()))
         if words:
-            row[PATH_BINS : PATH_BINS + WORD_BINS] /= len(words) ** 0.5
+            hashed = [0.0] * WORD_BINS
+            for w, times in words.items():
+                k, sign = _bin(w, WORD_BINS)
+                hashed[k] += sign * times**0.5
+            # a word that a long block repeats weighs no more than one that a short block consists of
+            row[PATH_BINS : PATH_BINS + WORD_BINS] = np.array(hashed) / words.total() ** 0.5
         n = len(b.text)
         row[-NUMBERS:] = (np.log1p(n) / 6, b.linked / n, (b.text.count(".") + b.text.count(",")) * 20 / (n + 20), len(b.path) / 10, n > 120, b.text[-1] in ".!?:\"”»", (r + 1) / len(page), 1.0)
     return x

@@ -115,6 +115,14 @@ def test_blocks_of_awkward_pages():
     assert html_blocks.blocks("<nav><ul><li><a href=x>m</a></ul></nav><p>t")[1].path == ("p",)
 
 
+def test_block_vectors_see_all_words():
+    start = "some words that stand in both of the blocks " * 12
+    a, b, c = html_blocks.vectors([html_blocks.Block(start + end, ("p",)) for end in ("cookies", "article", "article")])
+    words = slice(html_blocks.PATH_BINS, html_blocks.PATH_BINS + html_blocks.WORD_BINS)
+    assert (a[words] != b[words]).any() and (b[words] == c[words]).all()
+    assert np.abs(html_blocks.vectors([html_blocks.Block("word " * 9000, ("p",))])[0, words]).max() <= 1
+
+
 def test_every_class_name_is_on_the_path():
     path = html_blocks.blocks('<div class="col-xs-12 col-sm-6 col-md-4 col-lg-3 px-2 sidebar">t</div>')[0].path
     assert path == ("div", ".col", ".xs", ".sm", ".md", ".lg", ".px", ".sidebar")
