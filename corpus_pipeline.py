@@ -1,9 +1,9 @@
 """The corpus pipeline: documents to token ids, in stages that are each written and read again.
 
 Toxic documents go; later copies of long line runs are cut out, and documents that this leaves
-without a word go; of each group of near duplicates the one with the smallest id stays; documents
-that leak a benchmark item go; what is left is encoded, and decoded again. Rows with a null id are
-never taken for duplicates of others; a null text passes the filters and is encoded as empty.
+without a word go; of each group of near duplicates one row stays, that with the smallest id (null
+comes last), whatever other rows have its id; documents that leak a benchmark item go; what is left
+is encoded, and decoded again. A null text passes the filters and is encoded as empty.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    later = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.without_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

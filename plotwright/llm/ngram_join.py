@@ -123,8 +123,10 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(mix(s ^ U(0x5851F42D4C957F2D)).sum(keepdims=True) + U(len(s))).view(np.int64)[0])
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and key, the name of the document's set (null if empty)."""
+def classes(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """doc_id, n_shingles and key, the name of the document's set (null if empty); text_hash on demand."""
+    more = [F.xxhash64(docs[text_col].cast("string")).alias("text_hash")] if hashed else []
+    names = ["doc_id", "n_shingles", "key", *(["text_hash"] if hashed else [])]
 
     def rows(batches):
         for b in batches:
@@ -132,9 +134,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in shingle_sets(b.column(1)):
                 n.append(len(s))
                 key.append(set_key(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), *b.columns[2:]], names)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(rows, "doc_id long, n_shingles long, key long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *more).mapInArrow(rows, ", ".join(f"{n} long" for n in names))
 
 
 def _spread(part: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -441,18 +443,12 @@ def _joined(groups: DataFrame, n_parts: int, width: int) -> DataFrame:
     return groups.select(*order, "key", "n", "tokens").repartition(n_parts, *order).sortWithinPartitions(*order).mapInArrow(rows, "key long, other long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id reachable over links, of every row.
-
-    A null, empty or wordless text has no shingles and is linked with nothing. Rows of one text are
-    linked with each other, whatever their ids; a row with a null id takes part, and its component is
-    named by the smallest id that is not null. Other columns are not read; an empty table gives an
-    empty result.
-    """
+def _rooted(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """The classes of all rows, each with root, the name of its component (null without shingles)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    member = cut(classes(docs, id_col, text_col))
+    member = cut(classes(docs, id_col, text_col, hashed))
     total = member.where("key IS NOT NULL").groupBy("key").agg(F.max("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
     n_parts = max(least, -(-total // BUCKET))
     active = cut(_active(_shared(postings(docs, text_col, n_parts), n_parts), n_parts))
@@ -470,11 +466,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = cut(_joined(split.join(active.select("key", "n", "tokens"), "key"), least, _width(n_parts)).distinct())
     if blocks.where("blocks > 1").limit(1).count():
         found = components(found, "key", "other").where("node <> root").selectExpr("node AS key", "root AS other")
-    rooted = member.join(found, "key", "left").withColumn("root", F.coalesce("other", "key"))
+    return member.join(found, "key", "left").withColumn("root", F.coalesce("other", "key"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable over links, of every row.
+
+    A null, empty or wordless text has no shingles and is linked with nothing. Rows of one text are
+    linked with each other, whatever their ids; a row with a null id takes part, and its component is
+    named by the smallest id that is not null. Other columns are not read; an empty table gives an
+    empty result.
+    """
+    rooted = _rooted(docs, id_col, text_col)
     name = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")).where("rows > 1")
     return rooted.join(name, "root", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the first by id (null last) and hash of the text.
+
+    Of rows that are alike in id and text one stays. Rows without shingles all stay.
+    """
+    rooted = _rooted(docs, id_col, text_col, hashed=True).where("root IS NOT NULL").select("root", "doc_id", "text_hash")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    first = rooted.groupBy("root").agg(least.alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    # rows of one id and text are in one component
+    fate = rooted.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), later.alias("_later"))
+    fate = cut(fate.groupBy("_id", "_hash").agg(F.max("_later").alias("_later"), F.count("*").alias("_times")).where("_later OR _times > 1").drop("_times"))
+    row_id, row_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    if not fate.where("NOT _later").limit(1).count():
+        return docs.join(fate, row_id.eqNullSafe(fate["_id"]) & (row_hash == fate["_hash"]), "left_anti")
+    told = docs.join(fate, row_id.eqNullSafe(fate["_id"]) & (row_hash == fate["_hash"]), "left")
+    return told.where("_later IS NULL").unionByName(told.where("NOT _later").dropDuplicates(["_id", "_hash"])).select(*docs.columns)
+
+
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: All pairs that share a shingle, and reachability by recursion: for small tables only.
 ORACLE = rf"""

@@ -71,3 +71,16 @@ def test_stages_on_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.collect() == []
+
+
+def test_near_duplicates_go_by_row(spark):
+    from tests.llm.test_operators import DOCS
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    texts = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, d), (None, d), (None, c), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], DOCS).selectExpr("*", "1 AS key", "2 AS root")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(1, a), (2, b), (3, c), (None, d), (4, None), (4, None), (None, "")], key=repr)
+    one_each = docs.where("doc_id < 3")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, one_each, SF).collect()) == [(1, a), (2, b)]
