@@ -101,39 +101,59 @@ class Items:
         self.min_match = min_match
         self.number: dict[str, int] = {}
         self.items = []
+        #: By their number of words, the items that have too few for a seed, under their words.
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for item_id, text in items:
             ids = [self.number.setdefault(w, len(self.number)) for w in words_of(text or "")]
             if len(ids) >= min_match:
                 self.items.append((item_id, ids))
+            elif ids:
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), []).append(item_id)
         self.power = np.array([pow(BASE, k, 1 << 64) | 1 for k in range(1, min_match + 1)], np.uint64)
         seeds: dict[int, list[tuple[int, int]]] = {}
         for n, (_, ids) in enumerate(self.items):
-            for p, h in enumerate(self._seed(np.array(ids)).tolist()):
+            for p, h in enumerate(self._seed(np.array(ids), min_match).tolist()):
                 seeds.setdefault(h, []).append((n, p))
         self.seeds = seeds
         self.sorted = np.array(sorted(seeds), np.uint64)
 
-    def _seed(self, ids: np.ndarray) -> np.ndarray:
-        m = len(ids) - self.min_match + 1
+    def _seed(self, ids: np.ndarray, size: int) -> np.ndarray:
+        m = len(ids) - size + 1
         out = np.zeros(max(0, m), np.uint64)
-        for k in range(self.min_match):
+        for k in range(size):
             out += (ids[k : k + m].astype(np.uint64) + np.uint64(7)) * self.power[k] if m > 0 else out
         x = out ^ (out >> np.uint64(29))
         return x * np.uint64(0xBF58476D1CE4E5B9)
 
+    def _whole(self, ids: np.ndarray, at: np.ndarray):
+        """What `leaks` gives of the short items: a row that holds all words of one, in a run, is a pair."""
+        for n, known in self.short.items():
+            names = self._seed(np.array([w for words in known for w in words]), n)[::n]
+            hit = np.flatnonzero(np.isin(self._seed(ids, n), names))
+            row = np.searchsorted(at, hit, "right") - 1
+            inside = hit + n <= at[row + 1]
+            seen = set()
+            for j, r in zip(hit[inside].tolist(), row[inside].tolist(), strict=True):
+                words = tuple(ids[j : j + n].tolist())
+                if words in known and (r, words) not in seen:
+                    seen.add((r, words))
+                    for item_id in known[words]:
+                        yield r, item_id, n, 1, n
+
     def leaks(self, texts: list[str], coverage: float):
         """(row, item_id, words of the item, tiles, covered) of every pair that reaches `coverage`."""
-        if not self.items:
+        if not self.items and not self.short:
             return
         k, get = self.min_match, self.number.get
         split = [[get(w, -1) for w in words_of(t)] for t in texts]
         sizes = [len(x) for x in split]
         ids = np.fromiter((x for d in split for x in d), np.int64, sum(sizes))
         at = np.cumsum([0, *sizes])
+        yield from self._whole(ids, at)
         m = len(ids) - k + 1
-        if m <= 0:
+        if m <= 0 or not self.items:
             return
-        seed = self._seed(ids)
+        seed = self._seed(ids, k)
         spot = np.minimum(np.searchsorted(self.sorted, seed), len(self.sorted) - 1)
         hit = np.flatnonzero(self.sorted[spot] == seed)
         row = np.searchsorted(at, hit, "right") - 1
@@ -175,8 +195,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
 def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The pairs of document and item whose tiles cover `coverage` of the item.
 
-    Null and empty texts are in no pair, nor are items of fewer than `min_match` words; repeated rows
-    and repeated items each give their pairs; a null id stays null. Tiles are taken longest first,
+    Null and empty texts are in no pair. An item of fewer than `min_match` words is one tile or none: all
+    of its words have to stand in the document in a run. Repeated rows and repeated items each give their pairs; a null id stays null. Tiles are taken longest first,
     then leftmost in the item, then in the document. An empty table gives an empty result.
     """
     spark = docs.sparkSession

@@ -222,6 +222,17 @@ def test_leaks_against_brute_force(spark):
     assert rows(small, "doc_id", "item_id", "covered") == got
 
 
+def test_short_items_leak_whole(spark):
+    items = spark.createDataFrame([(1, "two plus two"), (2, "Two plus two?"), (3, "什么是北京"), (4, "yes"), (5, " "), (6, None), (7, "a b c d e f")], "item_id long, text string")
+    texts = ["He said: two, plus two. And two plus two again", "two plus", "two minus two plus one two", "什么是北京", "no yes", "", None, "plus two", "x a b c d e f y"]
+    docs = frame(spark, texts)
+    got = rows(decontaminate.leaks(docs, items), "doc_id", "item_id", "coverage")
+    assert got == [(0, 1, 1.0), (0, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0), (8, 7, 1.0)]
+    short = items.where("item_id < 5")
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, short).collect()) == [1, 2, 5, 6, 7, 8]
+    assert decontaminate.leaks(frame(spark, ["yes"]), short).count() == 1
+
+
 def shingles(t):
     w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
