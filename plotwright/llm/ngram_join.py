@@ -9,7 +9,9 @@
    fingerprint are candidates; candidate groups are the components of that relation.
 4. Each candidate group is joined in a prefix tree: the ordered sets lie in a trie, a probe walks it
    carrying the overlap of the path so far, and leaves a subtree when what remains cannot reach the
-   bound. Groups over a size bound are split in blocks that meet pairwise, so no task holds more
+   bound. It enters only at sets that share enough of the rarest fingerprints with it, from lists by
+   fingerprint, so sets without links cost no walk. The order is the group's own, by how many of its
+   sets have a fingerprint: it is the group's tree that shares paths. Groups over a size bound are split in blocks that meet pairwise, so no task holds more
    than two blocks. Only links between parts that are not yet connected are looked for.
 
 Fingerprints travel as the number of their part and 40 bits: two different shingles are taken for
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, pack, unpack
+from .common import bounded_batches, cut, free_name, join_hot, pack, unpack
 from .components import components
 
 SHINGLE = 5
@@ -358,26 +360,63 @@ class Trie:
                     self.small[stack[-1]] = min(self.small[stack[-1]], self.small[k])
             if i < g:
                 stack.append(i)
+        self.depth = np.array(self.lcp, np.int64)
         self.member = np.zeros(max((int(s[-1]) + 1 for s in self.sets if len(s)), default=1), np.int32)
         self.path = np.zeros(max(map(len, self.sets), default=0) + 1, np.int64)
-
-    def linked(self, y: int) -> list[int]:
-        """The sets that are linked with set y (places in sorted order)."""
+        # Two linked sets share `least` of what they hold, so the rarest `need` that they share lie among the
+        # `reach` rarest of either (the order ends with the rarest). Lists of the sets by these fingerprints:
+        size = np.array(self.n, np.int64)
+        have = np.array([len(s) for s in self.sets], np.int64)
+        least = -(-PERCENT * size // 100)
+        self.size, self.need = size, np.maximum(1, least // 4)
+        self.reach = np.clip(have - least + self.need, 0, have)
+        near = np.concatenate([s[len(s) - r :] for s, r in zip(self.sets, self.reach.tolist(), strict=True)])
+        by = np.argsort(near, kind="stable")
+        self.holder = np.repeat(np.arange(g, dtype=np.int32), self.reach)[by]
+        self.bound = np.searchsorted(near[by], np.arange(len(self.member) + 1))
+
+    def candidates(self, y: int, label: np.ndarray) -> np.ndarray:
+        """The places, in order, of sets with another label that share enough of the rarest with set y."""
+        rare = self.sets[y][len(self.sets[y]) - int(self.reach[y]) :]
+        first, count = self.bound[rare], self.bound[rare + 1] - self.bound[rare]
+        total = int(count.sum())
+        spot = np.arange(total) + np.repeat(first - (np.cumsum(count) - count), count)
+        holder = self.holder[spot]
+        if total < len(self.sets) // 8:
+            place, times = np.unique(holder, return_counts=True)
+        else:
+            times = np.bincount(holder, minlength=len(self.sets))
+            place = np.flatnonzero(times)
+            times = times[place]
+        ny, n = self.n[y], self.size[place]
+        fits = (times >= np.minimum(self.need[place], self.need[y])) & (100 * np.minimum(n, ny) >= PERCENT * np.maximum(n, ny))
+        place = place[fits]
+        return place[label[place] != label[y]]
+
+    def linked(self, y: int, label: np.ndarray) -> list[int]:
+        """The sets with another label that are linked with set y (places in sorted order)."""
+        places = self.candidates(y, label)
+        if not len(places):
+            return []
         probe, ny, member, path, out = self.sets[y], self.n[y], self.member, self.path, []
         member[probe] = 1
-        i, g = 0, len(self.sets)
-        while i < g:
-            s, depth = self.sets[i], self.lcp[i]
+        at, before, known = 0, 0, 0
+        while at < len(places):
+            i = int(places[at])
+            s = self.sets[i]
+            # the path to here is known as far as the last walk went and the sets between agree
+            depth = min(known, int(self.depth[before + 1 : i + 1].min())) if i > before else known
             have = int(path[depth])
             left = len(probe) if not depth else len(probe) - int(np.searchsorted(probe, s[depth - 1], "right"))
-            if 180 * (have + min(left, self.deep[i] - depth)) < PERCENT * (ny + self.small[i]) * 180 // (100 + PERCENT):
-                i = self.jump[i]
+            if depth == self.lcp[i] and 180 * (have + min(left, self.deep[i] - depth)) < PERCENT * (ny + self.small[i]) * 180 // (100 + PERCENT):
+                # no set below here can reach the bound
+                at, before, known = int(np.searchsorted(places, self.jump[i])), i, depth
                 continue
             path[depth + 1 : len(s) + 1] = have + np.cumsum(member[s[depth:]])
             both = int(path[len(s)])
-            if i != y and 100 * both >= PERCENT * (ny + self.n[i] - both):
+            if 100 * both >= PERCENT * (ny + self.n[i] - both):
                 out.append(i)
-            i += 1
+            at, before, known = at + 1, i, len(s)
         member[probe] = 0
         return out
 
@@ -385,8 +424,9 @@ class Trie:
 def join_group(sizes: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
     """For each set of a candidate group the first member of its component over links.
 
-    Fingerprints are ordered by how many sets of the group have them. Sets are probed until all that is not probed lies in one component: a link between two
-    components would have shown from either side.
+    Fingerprints are ordered by how many sets of the group have them. Sets are probed until all that
+    is not probed lies in one component: a link between two components would have shown from either
+    side.
     """
     names, rank, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     place = np.empty(len(names), np.int64)
@@ -396,18 +436,19 @@ def join_group(sizes: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
     at = np.cumsum([0] + [len(t) for t in tokens])
     trie = Trie([np.sort(rank[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)], sizes)
     g = len(tokens)
-    label, probed = np.arange(g), np.zeros(g, bool)
-    while True:
-        count = np.bincount(label, minlength=g)
-        rest = np.flatnonzero((label != count.argmax()) & ~probed)
-        if not len(rest):
-            break
-        y = int(rest[np.argmin(count[label[rest]])])
-        probed[y] = True
-        found = trie.linked(y)
-        if found:
-            parts = np.unique(label[[y, *found]])
-            label[np.isin(label, parts)] = parts[0]
+    label, probed, count = np.arange(g), np.zeros(g, bool), np.ones(g, np.int64)
+    most = 0
+    while len(rest := np.flatnonzero((label != most) & ~probed)):
+        for y in rest.tolist():
+            if label[y] == most:
+                continue
+            probed[y] = True
+            if found := trie.linked(y, label):
+                parts = np.unique(label[[y, *found]])
+                label[np.isin(label, parts)] = parts[0]
+                count[parts[0]] = count[parts].sum()
+                if count[parts[0]] > count[most] or most in parts:
+                    most = int(parts[0])
     out = np.empty(g, np.int64)
     out[trie.order] = trie.order[label]
     return out
@@ -443,13 +484,19 @@ def _joined(groups: DataFrame, n_parts: int, width: int) -> DataFrame:
     return groups.select(*order, "key", "n", "tokens").repartition(n_parts, *order).sortWithinPartitions(*order).mapInArrow(rows, "key long, other long")
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
-    """The classes of all rows, each with root, the name of its component (null without shingles)."""
+def _with_first(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """The classes of all rows with `first`, the id (and text hash) of the first row of the component.
+
+    It is null where a row is alone in its component or has no shingles. Rows meet their component by
+    way of their class, and hot classes and components by broadcast: no task gets all copies of a text.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     member = cut(classes(docs, id_col, text_col, hashed))
-    total = member.where("key IS NOT NULL").groupBy("key").agg(F.max("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *(["text_hash"] if hashed else []))
+    classed = cut(member.where("key IS NOT NULL").groupBy("key").agg(F.max("n_shingles").alias("n"), F.min(row).alias("first"), F.count("*").alias("times")))
+    total, n_rows, n_classes = (x or 0 for x in classed.agg(F.sum("n"), F.sum("times"), F.count("*")).first())
     n_parts = max(least, -(-total // BUCKET))
     active = cut(_active(_shared(postings(docs, text_col, n_parts), n_parts), n_parts))
     prefix = _prefixes(active, _width(n_parts))
@@ -466,7 +513,11 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -
     found = cut(_joined(split.join(active.select("key", "n", "tokens"), "key"), least, _width(n_parts)).distinct())
     if blocks.where("blocks > 1").limit(1).count():
         found = components(found, "key", "other").where("node <> root").selectExpr("node AS key", "root AS other")
-    return member.join(found, "key", "left").withColumn("root", F.coalesce("other", "key"))
+    found = cut(found)
+    rooted = cut(classed.join(found, "key", "left").select("key", F.coalesce("other", "key").alias("root"), "first", "times"))
+    first = cut(rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("classes"), F.sum("times").alias("rows")).where("rows > 1").drop("rows"))
+    named = cut(join_hot(rooted.drop("first"), first, ["root"], "classes", n_classes).drop("root"))
+    return join_hot(member, named, ["key"], "times", n_rows, "left")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -477,9 +528,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named by the smallest id that is not null. Other columns are not read; an empty table gives an
     empty result.
     """
-    rooted = _rooted(docs, id_col, text_col)
-    name = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")).where("rows > 1")
-    return rooted.join(name, "root", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
+    found = _with_first(docs, id_col, text_col)
+    return found.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -487,18 +537,17 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows that are alike in id and text one stays. Rows without shingles all stay.
     """
-    rooted = _rooted(docs, id_col, text_col, hashed=True).where("root IS NOT NULL").select("root", "doc_id", "text_hash")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    first = rooted.groupBy("root").agg(least.alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    found = _with_first(docs, id_col, text_col, hashed=True).where("first IS NOT NULL")
+    an_id, a_hash, is_later, n_times = (free_name(docs, n) for n in ("_id", "_hash", "_later", "_times"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
     # rows of one id and text are in one component
-    fate = rooted.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), later.alias("_later"))
-    fate = cut(fate.groupBy("_id", "_hash").agg(F.max("_later").alias("_later"), F.count("*").alias("_times")).where("_later OR _times > 1").drop("_times"))
-    row_id, row_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
-    if not fate.where("NOT _later").limit(1).count():
-        return docs.join(fate, row_id.eqNullSafe(fate["_id"]) & (row_hash == fate["_hash"]), "left_anti")
-    told = docs.join(fate, row_id.eqNullSafe(fate["_id"]) & (row_hash == fate["_hash"]), "left")
-    return told.where("_later IS NULL").unionByName(told.where("NOT _later").dropDuplicates(["_id", "_hash"])).select(*docs.columns)
+    fate = found.groupBy(F.col("doc_id").alias(an_id), F.col("text_hash").alias(a_hash)).agg(F.max(later).alias(is_later), F.count("*").alias(n_times))
+    fate = cut(fate.where(F.col(is_later) | (F.col(n_times) > 1)).drop(n_times))
+    same = docs[id_col].cast("long").eqNullSafe(fate[an_id]) & (F.xxhash64(docs[text_col].cast("string")) == fate[a_hash])
+    if not fate.where(~F.col(is_later)).limit(1).count():
+        return docs.join(fate, same, "left_anti")
+    told = docs.join(fate, same, "left")
+    return told.where(F.col(is_later).isNull()).unionByName(told.where(~F.col(is_later)).dropDuplicates([an_id, a_hash])).select(*docs.columns)
 
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
