@@ -11,6 +11,9 @@ copy. Runs that overlap join to the maximal repeated run, and its lines are dele
 
 No run that is looked up has more than MIN_WORDS lines, so the number of doublings does not grow
 with the documents.
+
+A line is known by two 64-bit hashes with seeds of their own: among 1e12 distinct lines two agree by
+chance with one of 1e14. From there on ranks are compared, which are exact.
 """
 
 from __future__ import annotations
@@ -20,18 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, free_name, join_hot
 
 MIN_WORDS = 50
 KEY = ["doc", "hash"]
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, hash (of the text), pos (among lines with a word), raw (among all lines), id, words."""
+    """doc, hash (of the text), pos (among lines with a word), raw (among all lines), id and check (of the line), words."""
     slim = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("raw"), x.alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
     each = slim.select("doc", F.xxhash64("text").alias("hash"), F.posexplode(F.filter(numbered, lambda x: x["words"] > 0)).alias("pos", "x"))
-    return each.select("doc", "hash", F.col("pos").cast("long").alias("pos"), "x.raw", F.xxhash64("x.line").alias("id"), F.col("x.words").alias("words"))
+    return each.select("doc", "hash", F.col("pos").cast("long").alias("pos"), "x.raw", F.xxhash64("x.line").alias("id"), F.xxhash64(F.lit(1), "x.line").alias("check"), F.col("x.words").alias("words"))
 
 
 def _groups(batches):
@@ -57,14 +60,15 @@ def _groups(batches):
         yield whole()
 
 
-WINDOWS = "doc long, hash long, pos long, raw int, id long, ahead int, back int"
+LINE = ["id", "check"]
+WINDOWS = "doc long, hash long, pos long, raw int, id long, check long, ahead int, back int"
 
 
 def _stretches(repeated: DataFrame, min_words: int, n_parts: int) -> DataFrame:
     """The lines of stretches that hold min_words: `ahead` lines from here, `back` lines up to here just hold them (0: none do)."""
 
     def rows(batches):
-        for doc, name, pos, raw, ident, words in _groups(batches):
+        for doc, name, pos, raw, ident, check, words in _groups(batches):
             start = np.flatnonzero(np.append(True, np.diff(pos) != 1))
             out = []
             for a, z in zip(start, np.append(start[1:], len(pos)), strict=True):
@@ -81,23 +85,25 @@ def _stretches(repeated: DataFrame, min_words: int, n_parts: int) -> DataFrame:
                 continue
             at, ahead, back = (np.concatenate(c) for c in zip(*out, strict=True))
             ids = pa.array(doc[at], pa.int64(), mask=doc[at] == np.iinfo(np.int64).min)
-            cols = [ids, *(pa.array(c[at], k) for c, k in ((name, pa.int64()), (pos, pa.int64()), (raw, pa.int32()), (ident, pa.int64()))), pa.array(ahead, pa.int32()), pa.array(back, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "hash", "pos", "raw", "id", "ahead", "back"])
+            cols = [ids, *(pa.array(c[at], k) for c, k in ((name, pa.int64()), (pos, pa.int64()), (raw, pa.int32()), (ident, pa.int64()), (check, pa.int64()))), pa.array(ahead, pa.int32()), pa.array(back, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "hash", "pos", "raw", *LINE, "ahead", "back"])
 
-    kept = repeated.select(*KEY, "pos", "raw", "id", "words")
+    kept = repeated.select(*KEY, "pos", "raw", *LINE, "words")
     return kept.repartition(n_parts, *KEY).sortWithinPartitions(*KEY, "pos").mapInArrow(rows, WINDOWS)
 
 
 def _ranked(rows: DataFrame, by: list[str], name: str, n_parts: int) -> DataFrame:
     """`rows` with `name`: the place of their `by` columns among all distinct ones, sorted by range."""
     spark = rows.sparkSession
-    keys = cut(rows.select(*by).distinct().repartitionByRange(n_parts, *by).sortWithinPartitions(*by).withColumn("slice", F.spark_partition_id()))
-    sizes = sorted((r["slice"], r["n"]) for r in keys.groupBy("slice").agg(F.count("*").alias("n")).collect())
+    keys = rows.groupBy(*by).agg(F.count("*").alias("times"))
+    keys = cut(keys.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).withColumn("slice", F.spark_partition_id()))
+    slices = keys.groupBy("slice").agg(F.count("*").alias("n"), F.sum("times").alias("times")).collect()
+    sizes, total = sorted((r["slice"], r["n"]) for r in slices), sum(r["times"] for r in slices)
     offset = np.cumsum([0] + [n for _, n in sizes]).tolist()
     first = spark.createDataFrame([(s, o) for (s, _), o in zip(sizes, offset, strict=False)] or [(-1, 0)], "slice int, first long")
     place = F.row_number().over(Window.partitionBy("slice").orderBy(*by))
-    ranks = keys.withColumn("place", place).join(F.broadcast(first), "slice").select(*by, (F.col("first") + F.col("place")).alias(name))
-    return rows.join(ranks, by)
+    ranks = keys.withColumn("place", place).join(F.broadcast(first), "slice").select(*by, (F.col("first") + F.col("place")).alias(name), "times")
+    return join_hot(rows, ranks, by, "times", total)
 
 
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -105,10 +111,10 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = cut(lines_of(docs, id_col, text_col))
-    often = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    often = cut(lines.groupBy(*LINE).agg(F.count("*").alias("n")).where("n > 1"))
     # rows of one id and one text are one document
-    repeated = lines.join(often, "id").dropDuplicates([*KEY, "pos"])
-    s = cut(_ranked(cut(_stretches(repeated, min_words, n_parts)), ["id"], "r0", n_parts).drop("id"))
+    repeated = join_hot(lines, often, LINE, "n", lines.count()).dropDuplicates([*KEY, "pos"])
+    s = cut(_ranked(cut(_stretches(repeated, min_words, n_parts)), LINE, "r0", n_parts).drop(*LINE))
     longest = s.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
     order, level, k = Window.partitionBy(*KEY).orderBy("pos"), 0, 1
     while 2 * k <= longest:
@@ -131,8 +137,8 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = cut(both)
     interval = ["size", "x", "y"]
     spot = F.struct(*KEY, "pos")
-    earliest = both.groupBy(*interval).agg(F.min(spot).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = both.join(earliest, interval).where(spot > F.col("earliest")).select(*KEY, F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
+    earliest = cut(both.groupBy(*interval).agg(F.min(spot).alias("earliest"), F.count("*").alias("n")).where("n > 1"))
+    copies = join_hot(both, earliest, interval, "n", both.count()).where(spot > F.col("earliest")).select(*KEY, F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
     return copies.alias("c").join(s.alias("s"), [F.col(f"c.{x}").eqNullSafe(F.col(f"s.{x}")) for x in KEY] + [F.col("c.pos") == F.col("s.pos")]).select("s.doc", "s.hash", "s.raw")
 
 
@@ -148,14 +154,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     bounded_batches(docs.sparkSession)
     gone = later_lines(docs, id_col, text_col, min_words).groupBy(*KEY).agg(F.sort_array(F.collect_set("raw")).alias("deleted_lines"))
-    gone = gone.select(F.col("doc").alias("_dedup_doc"), F.col("hash").alias("_dedup_hash"), F.col("deleted_lines").alias("_dedup_gone"))
+    a_doc, a_hash, cut_out = (free_name(docs, n) for n in ("_doc", "_hash", "_gone"))
+    gone = gone.select(F.col("doc").alias(a_doc), F.col("hash").alias(a_hash), F.col("deleted_lines").alias(cut_out))
     kept = [c for c in docs.columns if c not in ("n_lines", "deleted_lines")]
     named = docs.select(*kept)
-    joined = named.join(gone, named[id_col].cast("long").eqNullSafe(gone["_dedup_doc"]) & (F.xxhash64(named[text_col].cast("string")) == gone["_dedup_hash"]), "left")
+    joined = named.join(gone, named[id_col].cast("long").eqNullSafe(gone[a_doc]) & (F.xxhash64(named[text_col].cast("string")) == gone[a_hash]), "left")
     split = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_dedup_gone"), i)), "\n")
-    text = F.when(F.col("_dedup_gone").isNull(), F.col(text_col)).otherwise(left)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_dedup_gone", F.array().cast("array<int>")).alias("deleted_lines"))
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(cut_out), i)), "\n")
+    text = F.when(F.col(cut_out).isNull(), F.col(text_col)).otherwise(left)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(cut_out, F.array().cast("array<int>")).alias("deleted_lines"))
 
 
 #: The same by windows of lines written out, for small tables.
