@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: one on ordinary texts, one on toxic texts.
-As in zstandard's own dictionary builder, a dictionary is made of the segments that pay most; a
-segment of the toxic dictionary pays by how much more often toxic texts have it than ordinary ones.
-Both begin with the ordinary segments, so a window costs the same under either dictionary unless it holds
-something toxic.
+Two zstandard dictionaries are built from labelled texts. Their content is chosen here and not by
+zstandard's trainer: the ordinary one holds the segments (words and their beginnings) that ordinary
+texts have most, the toxic one these and the segments that toxic texts have more often by a
+likelihood ratio. Both begin with the ordinary segments, so a window costs the same under either
+unless it holds something toxic. Dictionaries that the trainer made of toxic and of ordinary texts
+were measured and found less (see the README).
 
 Each text is cut at words into windows. A window's saving is its compressed length under the ordinary
 dictionary less that under the toxic one. The threshold for a saving, and the step from a text's
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 from .ngram_join import text_pieces
 
-#: The most labelled rows of a class that the models are fitted on, and the longest text among them.
-FIT_ROWS, FIT_CHARS = 3000, 100_000
+#: The most labelled rows of a class that the models are fitted on. Of a longer text FIT_CHARS
+#: characters are fitted on, in FIT_SLICES slices that lie evenly over all of it.
+FIT_ROWS, FIT_CHARS, FIT_SLICES = 3000, 20_000, 100
 WINDOW_WORDS, DICT_BYTES = 4, 48_000
 #: The likelihood ratio from which a segment sets toxic texts apart; by chance one segment in a million has it.
 EVIDENCE = 24.0
@@ -219,14 +221,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from at most `fit_rows` labelled rows of each class that are not held out.
 
     Rows are chosen by a hash of the id; a document with several labels counts as toxic if one says
-    so; texts over FIT_CHARS are not fitted on (they are scored whole all the same).
+    so. Of a text over FIT_CHARS evenly spread slices are fitted on; all texts are scored whole.
     """
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sets = []
     for value in (0, 1):
         ids = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id")
-        text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
+        text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
+        width, last = FIT_CHARS // FIT_SLICES, F.length("text") - FIT_CHARS // FIT_SLICES
+        slices = F.transform(F.sequence(F.lit(0), F.lit(FIT_SLICES - 1)), lambda k: F.substr("text", (k * last / (FIT_SLICES - 1)).cast("int") + 1, F.lit(width)))
+        text = text.withColumn("text", F.when(F.length("text") <= FIT_CHARS, F.col("text")).otherwise(F.array_join(slices, " ")))
         # at most fit_rows ids of 8 bytes
         rows = text.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
         sets.append([r.text for r in sorted(rows, key=lambda r: r.doc_id)])
