@@ -1,17 +1,22 @@
 """The parts that the operators share, against plain versions."""
 
+import base64
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plotwright.llm import html_blocks, ngram_join, toxicity
+from plotwright.llm import bpe, html_blocks, ngram_join, toxicity
 from plotwright.llm.bpe import PairTable, merge
-from plotwright.llm.common import pack, unpack
+from plotwright.llm.common import join_hot, pack, unpack
 from plotwright.llm.components import components
+from plotwright.llm.token_counts import PieceCounter
 from tests.llm.test_operators import WORDS
 
 
@@ -46,7 +51,9 @@ def test_merging_is_the_sequential_rule(seed):
             top += 1
     table = PairTable([a for a, _ in ranks], [b for _, b in ranks], [v[0] for v in ranks.values()], [v[1] for v in ranks.values()], top)
     words = [[r.randrange(4) for _ in range(r.randint(0, 25))] for _ in range(12)]  # symbol 3 is unknown if nothing was made
+    bpe.LONG, old = r.choice([1, 8, 1024]), bpe.LONG
     sym, left = merge(np.array([s for w in words for s in w], np.int64), np.array([len(w) for w in words]), table)
+    bpe.LONG = old
     got, at = [], 0
     for n in left.tolist():
         got.append(sym[at : at + n].tolist())
@@ -126,3 +133,55 @@ def test_block_vectors_see_all_words():
 def test_every_class_name_is_on_the_path():
     path = html_blocks.blocks('<div class="col-xs-12 col-sm-6 col-md-4 col-lg-3 px-2 sidebar">t</div>')[0].path
     assert path == ("div", ".col", ".xs", ".sm", ".md", ".lg", ".px", ".sidebar")
+
+
+def test_a_text_without_spaces_takes_linear_time():
+    counter = PieceCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(7)
+    for text in ("".join(r.choice("etaoins") for _ in range(30_000)), base64.b64encode(r.randbytes(20_000)).decode()):
+        assert counter.count([text]) == [len(library.encode(text))]
+    began = time.perf_counter()
+    counter.count(["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 60
+
+
+def plain_groups(sizes, sets):
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (sizes[a] + sizes[b] - both):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6))
+def test_candidate_groups_against_all_pairs(seed):
+    r = np.random.default_rng(seed)
+    base = [r.choice(60, r.integers(1, 25), replace=False) for _ in range(4)]
+    sets = []
+    for _ in range(20):
+        kept = base[r.integers(4)][int(r.integers(0, 3)) :]
+        sets.append(np.unique(np.concatenate([kept, r.integers(60, 90, r.integers(1, 3))])).astype(np.uint64))
+    sizes = np.array([len(s) + int(r.integers(0, 2)) for s in sets])
+    got = ngram_join.join_group(sizes, sets)
+    least = [int(np.flatnonzero(got == x)[0]) for x in got]
+    assert least == plain_groups(sizes.tolist(), [set(s.tolist()) for s in sets])
+
+
+def test_unlinked_sets_cost_no_pairs():
+    sets = [np.unique(np.append(1 + 20 * k + np.arange(20), 0)).astype(np.uint64) for k in range(40_000)]
+    began = time.perf_counter()
+    assert (ngram_join.join_group(np.full(len(sets), 21), sets) == np.arange(len(sets))).all()
+    assert time.perf_counter() - began < 30
+
+
+def test_hot_keys_are_joined_apart(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1000)] + [(None, -1)], "a int, v int")
+    small = spark.createDataFrame([(k, f"n{k}", 300 if k < 3 else 1) for k in range(950)], "a int, name string, times long")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, join_hot(rows, small, ["a"], "times", 1001, how).collect()), key=str)
+        assert got == sorted(map(tuple, rows.join(small.drop("times"), "a", how).collect()), key=str)
