@@ -107,6 +107,29 @@ def grounded(value: Column, source: Column) -> Column:
     return (flat(value) != "") & F.contains(flat(source), flat(value))
 
 
+# First and last letter of the Indic blocks with the language that each is sent as.
+INDIC = (("ऀ", "ॿ", "hi"), ("ঀ", "\u09ff", "bn"), ("\u0a00", "\u0a7f", "pa"), ("\u0a80", "\u0aff", "gu"), ("\u0b00", "\u0b7f", "or"), ("\u0b80", "\u0bff", "ta"), ("\u0c00", "\u0c7f", "te"), ("\u0c80", "\u0cff", "kn"), ("\u0d00", "\u0d7f", "ml"))
+
+
+def script_language(c: Column) -> Column:
+    """The language of the first Indic letter, null for text without one."""
+    first = F.nullif(F.regexp_extract(c, f"[{INDIC[0][0]}-{INDIC[-1][1]}]", 0), F.lit(""))
+    out = F.lit(None).cast("string")
+    for low, high, language in INDIC:
+        out = F.when(first.between(low, high), language).otherwise(out)
+    return out
+
+
+def is_indic(c: Column) -> Column:
+    return F.coalesce(c.rlike(f"[{INDIC[0][0]}-{INDIC[-1][1]}]"), F.lit(False))
+
+
+def label_order(label: Column) -> Column:
+    """A sort key for plot labels: the number before the first slash (0 if it is none), then the label."""
+    head = F.substring_index(label, "/", 1)
+    return F.struct(F.when(head.rlike("^[0-9]+$"), head.cast("long")).otherwise(0).alias("number"), label.alias("label"))
+
+
 def digit_skeleton(c: Column) -> Column:
     """A line with every run of digits as one #."""
     return F.regexp_replace(c, "[0-9]+", "#")

@@ -40,6 +40,30 @@ def build(log: DataFrame, columns: tuple[str, ...], chain_col: str | None = None
     return log.join(hashes, [*key, order_col])
 
 
+def seal(log: DataFrame, columns: tuple[str, ...], chain_col: str | None = None, order_col: str = "id") -> DataFrame:
+    """The log with hashes for the entries that have none: each is chained to the entry before it.
+
+    Stored hashes stay. Entries between two stored ones are folded from the first, so every stretch of
+    unsealed entries is a fold of its own and stretches run in parallel.
+    """
+    key = [chain_col] if chain_col else []
+    w = Window.partitionBy(*key).orderBy(order_col)
+    stretch = F.count("entry_hash").over(w)
+    rows = log.withColumn("_stretch", stretch).withColumn("_p", canonical(*columns))
+    g = rows.groupBy(*key, "_stretch").agg(F.max("entry_hash").alias("_tip"), F.array_sort(F.collect_list(F.when(F.col("entry_hash").isNull(), F.struct(order_col, "_p")))).alias("_rows"))
+    folded = F.aggregate(
+        "_rows",
+        F.struct(F.col("_tip").alias("tip"), F.array().cast(f"array<struct<{order_col}:bigint,prev:string,own:string>>").alias("out")),
+        lambda acc, x: F.struct(
+            digest(acc["tip"], x["_p"]).alias("tip"),
+            F.concat(acc["out"], F.array(F.struct(x[order_col].cast("bigint").alias(order_col), acc["tip"].alias("prev"), digest(acc["tip"], x["_p"]).alias("own")))).alias("out"),
+        ),
+    )
+    hashes = g.select(*key, F.explode(folded["out"]).alias("h")).select(*key, "h.*")
+    j = log.join(hashes, [*key, order_col], "left")
+    return j.withColumn("prev_hash", F.when(F.col("entry_hash").isNull(), F.col("prev")).otherwise(F.col("prev_hash"))).withColumn("entry_hash", F.coalesce("entry_hash", "own")).drop("prev", "own")
+
+
 def verify(log: DataFrame, columns: tuple[str, ...], chain_col: str | None = None, order_col: str = "id") -> DataFrame:
     """Per chain: ok, entries, verified (0 on any failure), and the first bad row with its reason.
 

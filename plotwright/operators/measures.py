@@ -46,6 +46,14 @@ def line_confidence(words: DataFrame, keys: list[str], conf: str) -> DataFrame:
     return words.groupBy(*keys).agg(F.count("*").alias("words"), F.round(F.least(F.lit(1.0), F.exp(F.avg(F.log(F.greatest(F.col(conf), F.lit(0.01)))))), 4).alias("confidence"))
 
 
+def reading_summary(words: DataFrame, key: str, text: str = "text", conf: str = "conf", sure: float = 50.0) -> DataFrame:
+    """Per page the mean confidence of its words and the characters of the sure ones; blank words and unread ones (under 0) do not count."""
+    word = F.trim(F.coalesce(F.col(text), F.lit("")))
+    read = (word != "") & (F.col(conf) >= 0)
+    certain = (word != "") & (F.col(conf) >= sure)
+    return words.groupBy(key).agg(F.round(F.coalesce(F.avg(F.when(read, F.col(conf))), F.lit(0.0)), 6).alias("mean_confidence"), F.coalesce(F.sum(F.when(certain, F.length(word))), F.lit(0)).cast("long").alias("confident_chars"))
+
+
 def gap_segments(boxes: DataFrame, key: str, multiple: float = 3.0) -> DataFrame:
     """Boxes (x, w) of a line split where the gap is far over the line's median positive gap; seg counts from 0."""
     w = Window.partitionBy(key).orderBy("x", "box_id")
@@ -90,6 +98,30 @@ def control_fit(points: DataFrame, key: str) -> DataFrame:
     return fit.join(rms, key)
 
 
+#: The most metres that control points may be off by, and the fewest points that can show a bad one.
+CONTROL_RMS_M, CONTROL_REDUNDANT = 2.0, 4
+
+
+def control_fit_robust(points: DataFrame, key: str, max_rms_m: float = CONTROL_RMS_M, most: int = 8) -> DataFrame:
+    """`control_fit` without its worst points: while a sheet's RMS is over the limit and it has more than four points, the worst goes.
+
+    `points` has an id within the sheet. One point of every bad sheet goes a round, at most `most`
+    rounds; the result has dropped, the number of points left out, and whether the fit passed.
+    """
+    used = points.withColumn("_dropped", F.lit(0))
+    for _ in range(most):
+        fit = control_fit(used, key)
+        j = used.join(fit, key)
+        off = F.sqrt(F.pow(F.col("a") * F.col("px") + F.col("b") * F.col("py") + F.col("c") - F.col("lon"), F.lit(2)) + F.pow(F.col("d") * F.col("px") + F.col("e") * F.col("py") + F.col("f") - F.col("lat"), F.lit(2)))
+        w = Window.partitionBy(key)
+        worst = F.row_number().over(w.orderBy(F.desc(F.round(off, 12)), "point_id"))
+        j = j.withColumn("_n", F.count("*").over(w)).withColumn("_rank", worst)
+        bad = (F.col("rms_m") > max_rms_m) & (F.col("_n") > CONTROL_REDUNDANT)
+        used = j.withColumn("_dropped", F.col("_dropped") + F.when(bad, 1).otherwise(0)).where(~bad | (F.col("_rank") > 1)).select(*points.columns, "_dropped")
+    counts = used.groupBy(key).agg(F.max("_dropped").alias("dropped"), F.count("*").alias("points"))
+    return control_fit(used, key).join(counts, key).withColumn("passed", F.col("rms_m") <= max_rms_m)
+
+
 def robust_outliers(rows: DataFrame, value: str, key: str, cut: float = 3.5) -> DataFrame:
     """Rows with their robust z-score (distance to the group's median over its median deviation) and whether it is over `cut`."""
     m = rows.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("med"))

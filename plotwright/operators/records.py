@@ -17,6 +17,20 @@ def wide(fields: DataFrame, keys: tuple[str, ...] = SHOWN) -> DataFrame:
     return fields.groupBy("document_id").agg(*[F.max(F.when(F.col("field_key") == k, F.col("value"))).alias(k) for k in keys])
 
 
+def detail(documents: DataFrame, users: DataFrame) -> DataFrame:
+    """Records with the names of who uploaded and who reviewed them: the same table twice."""
+    name = lambda who: users.select(F.col("id").alias(f"{who}_id"), F.col("full_name").alias(f"{who}_name"))
+    up, rev = name("uploader"), name("reviewer")
+    j = documents.join(up, documents["uploaded_by"] == up["uploader_id"], "left").join(rev, documents["reviewed_by"] == rev["reviewer_id"], "left")
+    return j.drop("uploader_id", "reviewer_id")
+
+
+def ensure_users(users: DataFrame, asked: DataFrame) -> DataFrame:
+    """Users and those asked for (username, full_name, role, office) that there are none of yet; known ones stay as they are."""
+    new = asked.dropDuplicates(["username"]).join(users.select("username"), "username", "left_anti")
+    return users.select("username", "full_name", "role", "office").unionByName(new.select("username", "full_name", "role", "office"))
+
+
 def listing(documents: DataFrame, users: DataFrame, fields: DataFrame) -> DataFrame:
     """Records with the uploader's name and the shown fields."""
     u = users.select(F.col("id").alias("user_id"), F.col("full_name").alias("uploader_name"))
@@ -31,12 +45,13 @@ def page(documents: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
 
 
 def search(documents: DataFrame, fields: DataFrame, text: str, status: str | None = None) -> DataFrame:
-    """Records whose file name or any field value contains the text, any case; % and _ are wildcards, as in LIKE."""
+    """Records whose file name, full text (if there is one) or any field value contains the text, any case; % and _ are wildcards, as in LIKE."""
     like = f"%{text}%"
     named = documents if status in (None, "all") else documents.where(F.col("status") == status)
     hits = fields.where(F.col("value").ilike(like)).select(F.col("document_id").alias("hit")).distinct()
     j = named.join(hits, named["id"] == hits["hit"], "left")
-    return j.where(F.col("filename").ilike(like) | F.col("hit").isNotNull()).drop("hit")
+    said = F.col("full_text").ilike(like) if "full_text" in documents.columns else F.lit(False)
+    return j.where(F.col("filename").ilike(like) | F.col("hit").isNotNull() | F.coalesce(said, F.lit(False))).drop("hit")
 
 
 def with_corrector(fields: DataFrame, users: DataFrame) -> DataFrame:

@@ -30,24 +30,31 @@ def grams(text: Column, sizes=(2, 3)) -> Column:
     return F.flatten(F.transform(words, lambda w: F.concat(*[of(w, n) for n in sizes])))
 
 
-def best_match(records: DataFrame, registry: DataFrame, id_col: str = "id", source_col: str = "source_id") -> DataFrame:
-    """id, source_id and score of the registry row most like each record; ties go to the lowest source.
+def best_match(records: DataFrame, registry: DataFrame, id_col: str = "id", source_col: str = "source_id", least: float = MATCH) -> DataFrame:
+    """id, source_id and score of the registry row most like each record, where one scores `least`; ties go to the lowest source.
 
-    Weights are term count times ln((1 + n) / (1 + df)) + 1 over the registry, at length one. Records and
-    registry meet only on shared n-grams; n-grams that most rows share carry little weight but are not dropped.
+    Weights are term count times ln((1 + n) / (1 + df)) + 1 over the registry, at length one. Rows meet
+    on the rarest n-grams of both only: what comes after them has a length under `least`, so a pair
+    that shares none of these cannot reach it. Grams that most rows have thus join nothing; their
+    weight still counts in the score.
     """
+    spark = records.sparkSession
     r = registry.select(source_col, F.explode(grams(identity())).alias("gram")).groupBy(source_col, "gram").agg(F.count("*").alias("tf"))
-    n = registry.count()
-    idf = r.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    seen = r.groupBy("gram").agg(F.count("*").alias("df"))
+    idf = spark.sql("SELECT gram, ln((1 + (SELECT count(*) FROM {rows})) / (1 + df)) + 1 AS idf FROM {seen}", rows=registry, seen=seen)
 
     def weighed(terms: DataFrame, key: str) -> DataFrame:
         w = terms.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-        return w.select(key, "gram", (F.col("w") / norm).alias("w"))
-
-    q = records.select(id_col, F.explode(grams(identity())).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
-    dots = weighed(q, id_col).join(weighed(r, source_col).withColumnRenamed("w", "rw"), "gram").groupBy(id_col, source_col).agg(F.sum(F.col("w") * F.col("rw")).alias("score"))
-    ranked = dots.withColumn("rk", F.round("score", 9)).groupBy(id_col).agg(F.min_by(F.struct(source_col, "score"), F.struct(-F.col("rk"), F.col(source_col))).alias("b"))
+        whole, rarest = Window.partitionBy(key), Window.partitionBy(key).orderBy(F.desc("idf"), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        square = F.col("w") * F.col("w")
+        rest = F.sum(square).over(rarest) / F.sum(square).over(whole)
+        return w.select(key, "gram", (F.col("w") / F.sqrt(F.sum(square).over(whole))).alias("w"), (rest >= least * least - 1e-9).alias("early"))
+
+    terms = records.select(id_col, F.explode(grams(identity())).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
+    q, s = weighed(terms, id_col), weighed(r, source_col).withColumnRenamed("w", "rw")
+    meet = q.where("early").select(id_col, "gram").join(s.where("early").select(source_col, "gram"), "gram").select(id_col, source_col).distinct()
+    dots = meet.join(q.drop("early"), id_col).join(s.drop("early"), [source_col, "gram"]).groupBy(id_col, source_col).agg(F.sum(F.col("w") * F.col("rw")).alias("score"))
+    ranked = dots.where(F.col("score") >= least).withColumn("rk", F.round("score", 9)).groupBy(id_col).agg(F.min_by(F.struct(source_col, "score"), F.struct(-F.col("rk"), F.col(source_col))).alias("b"))
     return ranked.select(id_col, f"b.{source_col}", "b.score")
 
 

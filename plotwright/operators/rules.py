@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +48,23 @@ def found(*cases: tuple[Column, Column]) -> Column:
     return F.filter(each, lambda x: x.isNotNull()).cast(ISSUE)
 
 
-def required_fields(doc_type: str | None = None) -> Column:
-    demanded = DEMANDED.get(doc_type or "", REQUIRED)
-    cases = [(got(k).isNull(), issue("REQUIRED_MISSING", "error", k, f"{k} is required and has no value")) for k in REQUIRED if k not in IDENTIFIERS and k in demanded]
+def demands(doc_type: str | Column | None, keys: tuple[str, ...]) -> Column:
+    """Whether a document type demands one of the keys; a type that is not listed demands the whole schema."""
+    if not isinstance(doc_type, Column):
+        return F.lit(any(k in DEMANDED.get(doc_type or "", REQUIRED) for k in keys))
+    out = F.lit(any(k in REQUIRED for k in keys))
+    for name, needed in DEMANDED.items():
+        out = F.when(doc_type == name, any(k in needed for k in keys)).otherwise(out)
+    return out
+
+
+def required_fields(doc_type: str | Column | None = None) -> Column:
+    """`doc_type` is one type for all rows or a column."""
+    cases = [(got(k).isNull() & demands(doc_type, (k,)), issue("REQUIRED_MISSING", "error", k, f"{k} is required and has no value")) for k in REQUIRED if k not in IDENTIFIERS]
     neither = F.lit(True)
     for k in IDENTIFIERS:
         neither = neither & got(k).isNull()
-    if any(k in demanded for k in IDENTIFIERS):
-        cases.append((neither, issue("REQUIRED_MISSING", "error", IDENTIFIERS[0], "no parcel identifier: one of " + " or ".join(IDENTIFIERS))))
+    cases.append((neither & demands(doc_type, IDENTIFIERS), issue("REQUIRED_MISSING", "error", IDENTIFIERS[0], "no parcel identifier: one of " + " or ".join(IDENTIFIERS))))
     return found(*cases)
 
 
@@ -131,13 +141,12 @@ def placeholders() -> Column:
     return found(*[(looks_like_placeholder(got(k), PLACEHOLDERS), issue("PLACEHOLDER_VALUE", "error" if FIELD[k].required else "warning", k, f"{k} stands for no value")) for k in NAMED])
 
 
-def low_confidence(confidence: Callable[[str], Column], threshold: float = LOW_CONFIDENCE, doc_type: str | None = None) -> Column:
+def low_confidence(confidence: Callable[[str], Column], threshold: float = LOW_CONFIDENCE, doc_type: str | Column | None = None) -> Column:
     """Fields that are there but read with low confidence; `confidence` gives the column for a key."""
-    demanded = DEMANDED.get(doc_type or "", REQUIRED)
     cases = []
     for k in FIELD:
         c = F.coalesce(confidence(k), F.lit(0.0))
-        grade = F.when((c < VERY_LOW_CONFIDENCE) & F.lit(k in demanded), "error").otherwise("warning")
+        grade = F.when((c < VERY_LOW_CONFIDENCE) & demands(doc_type, (k,)), "error").otherwise("warning")
         cases.append((F.col(k).isNotNull() & (c < threshold), issue("LOW_CONFIDENCE", grade, k, f"{k} was read with low confidence")))
     return found(*cases)
 
@@ -199,14 +208,24 @@ def trust(mean_confidence: Column, errors: Column, warnings: Column) -> Column:
     return F.greatest(F.lit(0.0), F.round((mean_confidence - penalty) * 100, 1))
 
 
-def validate(records: DataFrame, confidence: Callable[[str], Column], today: str, admin: DataFrame | None = None, doc_type: str | None = None) -> DataFrame:
+def validate(records: DataFrame, confidence: Callable[[str], Column], today: str, admin: DataFrame | None = None, doc_type: str | Column | None = None) -> DataFrame:
     """Records with issues, their counts, decision, trust score and signature.
 
     One narrow pass, but for the joins to the master. Without a master the lack is itself an issue.
     """
     r = hierarchy(records, admin) if admin is not None else records.withColumn("hierarchy_issues", found((F.lit(True), issue("MASTER_UNAVAILABLE", "info", None, "no administrative master"))))
     call = {"required": lambda f: f(doc_type), "dates": lambda f: f(today)}
-    parts = [call.get(n, lambda f: f())(f) for n, f in RULES.items()]
+
+    def ran(name: str, rule: Callable[..., Column]) -> Column:
+        """A rule that cannot run on these columns is an issue, not a failure."""
+        try:
+            out = call.get(name, lambda f: f())(rule)
+            r.select(out).schema  # noqa: B018  asks the analyser
+            return out
+        except AnalysisException as why:
+            return found((F.lit(True), issue("RULE_ERROR", "warning", None, f"{name}: {why.getCondition()}")))
+
+    parts = [ran(n, f) for n, f in RULES.items()]
     parts.insert(4, F.col("hierarchy_issues"))
     r = r.withColumn("issues", F.concat(*parts, low_confidence(confidence, doc_type=doc_type)))
     for name, grade in (("error_count", "error"), ("warning_count", "warning"), ("info_count", "info")):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from .spatial import pairs
@@ -23,6 +24,61 @@ def overlaps(parcels: DataFrame, size: float, keys: list[str] | None = None) ->
     return graded.where("severity IS NOT NULL").selectExpr("a_id AS a", "b_id AS b", "severity")
 
 
+def _clip(points: list[tuple[float, float]], a, b) -> list[tuple[float, float]]:
+    """The part of a convex polygon on the left of the line from a to b."""
+    out = []
+    side = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for x, y in points]
+    for k, (p, s) in enumerate(zip(points, side, strict=True)):
+        q, t = points[k - 1], side[k - 1]
+        if (s < 0) != (t < 0):
+            w = t / (t - s)
+            out.append((q[0] + w * (p[0] - q[0]), q[1] + w * (p[1] - q[1])))
+        if s >= 0:
+            out.append(p)
+    return out
+
+
+def _fan(ring) -> list[tuple[float, list[tuple[float, float]]]]:
+    """Triangles from the first corner, counter-clockwise, with the sign that each had: their signed sum is the ring."""
+    p = [(q["x"], q["y"]) for q in ring]
+    out = []
+    for b, c in zip(p[1:-1], p[2:], strict=True):
+        twice = (b[0] - p[0][0]) * (c[1] - p[0][1]) - (b[1] - p[0][1]) * (c[0] - p[0][0])
+        if twice:
+            out.append((1.0 if twice > 0 else -1.0, [p[0], b, c] if twice > 0 else [p[0], c, b]))
+    return out
+
+
+def common_area(a, b) -> float:
+    """Area that two simple rings share, whatever their shape: signed triangles of one clipped by those of the other."""
+    total = 0.0
+    for s, t in _fan(a):
+        for u, v in _fan(b):
+            part = t
+            for k in range(3):
+                part = _clip(part, v[k - 1], v[k]) if part else part
+            total += s * u * sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(part, part[1:] + part[:1], strict=True)) / 2
+    # the fans' own orientation
+    turn = [sum(p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(r, [*r[1:], r[0]], strict=True)) for r in (a, b)]
+    return total if (turn[0] < 0) == (turn[1] < 0) else -total
+
+
+@F.pandas_udf(T.DoubleType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([common_area(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def shared_area(parcels: DataFrame, size: float, keys: list[str] | None = None) -> DataFrame:
+    """a, b (a < b by parcel_id) and m2, the area in the rings' own unit that two parcels share, where it is positive.
+
+    Only pairs whose boxes share an area reach the clipping.
+    """
+    strict = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1"))
+    found = pairs(parcels, parcels, (F.col("a.parcel_id") < F.col("b.parcel_id")) & strict, size, keys)
+    m2 = found.select(F.col("a.parcel_id").alias("a_id"), F.col("b.parcel_id").alias("b_id"), _common(g.opened(F.col("a.ring")), g.opened(F.col("b.ring"))).alias("m2"))
+    return m2.where("m2 > 1e-9").selectExpr("a_id AS a", "b_id AS b", "m2")
+
+
 def containments(parcels: DataFrame, size: float, keys: list[str] | None = None) -> DataFrame:
     found = pairs(parcels, parcels, F.col("a.parcel_id") != F.col("b.parcel_id"), size, keys)
     return found.where(g.contains(F.col("a.ring"), F.col("b.ring"))).select(F.col("a.parcel_id").alias("outer"), F.col("b.parcel_id").alias("inner"))
@@ -49,6 +105,20 @@ def report(parcels: DataFrame, size: float, tolerance: float, key: str) -> DataF
     return j.withColumn("clean", (F.col("invalid") + F.col("overlaps") + F.col("slivers") + F.col("unsnapped")) == 0)
 
 
+METRES_PER_DEGREE, SNAP_M = 110_540.0, 0.5
+
+
+def suggested_tolerance(in_degrees: bool, metres: float = SNAP_M) -> float:
+    """The snapping tolerance in a sheet's own unit."""
+    return metres / METRES_PER_DEGREE if in_degrees else metres
+
+
+def rings_of(parcels: DataFrame, prefer_geo: bool = True) -> DataFrame:
+    """name and ring of parcels (khasra_number, parcel_id, geo_ring, pixel_ring): the mapped ring where there is one, else the drawn one."""
+    ring = F.coalesce("geo_ring", "pixel_ring") if prefer_geo else F.col("pixel_ring")
+    return parcels.select(F.coalesce(F.nullif("khasra_number", F.lit("")), F.col("parcel_id").cast("string")).alias("name"), ring.alias("ring")).where("ring IS NOT NULL AND size(ring) > 0")
+
+
 def snap(parcels: DataFrame, tolerance: float, key: str) -> DataFrame:
     """Corners moved to the first corner within tolerance, per sheet, in order of parcel and corner.
 

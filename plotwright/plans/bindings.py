@@ -93,11 +93,11 @@ FROM {supplier}""",
     "admin": """
 SELECT DISTINCT r_name AS state, n_name AS district, c_mktsegment AS tehsil, concat('village ', c_custkey % 60) AS village
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
-    # a small registry: one parcel per nation
+    # a registered parcel per customer
     "registry": """
-SELECT concat('REG-', n) AS source_id, concat(n, '/', 1 + n_nationkey % 9) AS khasra_number, concat('', n) AS khata_number, concat('village ', n % 60) AS village, n_name AS district,
-  CASE WHEN n_nationkey % 2 = 0 THEN concat('Customer#', lpad(concat('', n), 9, '0')) ELSE 'Someone Else' END AS owner_name, CAST(1000 + n_nationkey % 9 * 700 AS DOUBLE) AS area_sqm, CASE n_nationkey % 3 WHEN 0 THEN 'residential' WHEN 1 THEN 'forest' ELSE 'barren' END AS land_classification
-FROM (SELECT *, CAST(n_nationkey AS BIGINT) * 6 AS n FROM {nation}) x""",
+SELECT concat('REG-', c_custkey) AS source_id, concat(c_custkey, '/', 1 + c_custkey % 9) AS khasra_number, concat('', c_custkey) AS khata_number, concat('village ', c_custkey % 60) AS village, n_name AS district,
+  CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Someone Else' END AS owner_name, CAST(1000 + c_custkey % 9 * 700 AS DOUBLE) AS area_sqm, CASE c_custkey % 3 WHEN 0 THEN 'residential' WHEN 1 THEN 'forest' ELSE 'barren' END AS land_classification
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     # heights sampled under the footprint of each supplier's building
     "heights": """
 SELECT l_suppkey AS footprint_id, CASE WHEN l_partkey % 50 = 0 THEN -99.0 ELSE l_quantity * 0.3 - 0.5 END AS height_m

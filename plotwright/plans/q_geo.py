@@ -100,6 +100,24 @@ def topo_overlaps(spark, sf):
     return topology.overlaps(_parcels(spark, sf), 1.0).select("a", "b")
 
 
+def _inside(a, b):
+    """Corners of box a strictly inside box b."""
+    return " + ".join(f"({a}.{x} > {b}.x0 + 1e-9 AND {a}.{x} < {b}.x1 - 1e-9 AND {a}.{y} > {b}.y0 + 1e-9 AND {a}.{y} < {b}.y1 - 1e-9)::INT" for x in ("x0", "x1") for y in ("y0", "y1"))
+
+
+def _crossed(a, b):
+    """An upright side of box a crosses a level side of box b."""
+    return " OR ".join(f"({a}.{x} > {b}.x0 AND {a}.{x} < {b}.x1 AND {a}.y0 < {b}.{y} AND {a}.y1 > {b}.{y})" for x in ("x0", "x1") for y in ("y0", "y1"))
+
+
+KIND = f"CASE WHEN {_crossed('a', 'b')} OR {_crossed('b', 'a')} OR {_inside('a', 'b')} + {_inside('b', 'a')} > 1 THEN 'overlap' ELSE 'sliver' END"
+
+
+@query(ctes(PARCELS) + f"SELECT a.parcel_id AS a, b.parcel_id AS b, {KIND} AS severity FROM parcels a JOIN parcels b ON a.map_id = b.map_id AND a.parcel_id < b.parcel_id AND {SHARED} WHERE NOT {_AB} AND NOT {_BA} AND NOT {_FLUSH}")
+def topo_overlap_severity(spark, sf):
+    return topology.overlaps(_parcels(spark, sf), 1.0, ["map_id"])
+
+
 @query(ctes(PARCELS) + """, boxes AS (SELECT parcel_id, x0, y0, x1, y1 FROM parcels UNION ALL SELECT parcel_id + 10000000, x0 + 0.1, y0 + 0.1, x1 - 0.1, y1 - 0.1 FROM parcels)
 SELECT a.parcel_id AS "outer", b.parcel_id AS "inner" FROM boxes a JOIN boxes b ON a.parcel_id <> b.parcel_id AND b.x0 >= a.x0 - 1e-9 AND b.y0 >= a.y0 - 1e-9 AND b.x1 <= a.x1 + 1e-9 AND b.y1 <= a.y1 + 1e-9
 WHERE (a.x1 - a.x0) * (a.y1 - a.y0) > (b.x1 - b.x0) * (b.y1 - b.y0)

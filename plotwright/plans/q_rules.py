@@ -200,10 +200,10 @@ def rule_decision_trust(spark, sf):
     return _validated(spark, sf).select("id", "error_count", "warning_count", "info_count", "decision", "trust_score", "signature")
 
 
-@query(ctes(VALUES, "admin") + HIERARCHY_CTES.rstrip() + ",\n" + ALL + " SELECT rule, count(*) AS count FROM all_issues GROUP BY rule ORDER BY count DESC, rule LIMIT 10")
+@query(ctes(VALUES, "admin") + HIERARCHY_CTES.rstrip() + ",\n" + ALL + " SELECT rule, count(*) AS count, arg_min(severity, id) AS severity FROM all_issues GROUP BY rule ORDER BY count DESC, rule LIMIT 10")
 def agg_issue_frequency(spark, sf):
     i = _validated(spark, sf).select("id", F.posexplode("issues").alias("pos", "x")).select("id", "pos", "x.rule", "x.severity")
-    return stats.issue_frequency(i).select("rule", "count")
+    return stats.issue_frequency(i)
 
 
 @query(ctes(VALUES, "admin") + HIERARCHY_CTES.rstrip() + ",\n" + ALL + " SELECT id, rule, severity, field FROM all_issues WHERE severity = 'error'")

@@ -82,10 +82,10 @@ def read_visual_rows(spark, sf):
     return scans.visual_rows(words, "page")
 
 
-@query("SELECT item_id, length(text) > greatest(6, floor(200.0 / 10 * 0.9)::INT + 2) AS was_long, length(kept) <= 20 AS short FROM (SELECT item_id, text, text[:20] AS kept FROM benchmark)")
+@query(r"SELECT item_id, CASE WHEN length(text) <= 20 THEN text ELSE array_to_string(ws[1:greatest(1, coalesce(list_max(list_filter(range(1, len(ws) + 1), lambda k: length(array_to_string(ws[1:k], ' ')) <= 20)), 1))], ' ') END AS kept FROM (SELECT item_id, text, regexp_split_to_array(trim(text), '\s+') AS ws FROM benchmark)")
 def str_trim_overrun(spark, sf):
     cut = scans.trim_overrun(F.col("text"), F.lit(200.0), F.lit(10.0))
-    return base(spark, sf, "benchmark").select("item_id", (F.length("text") > 20).alias("was_long"), (F.length(cut) <= 20).alias("short"))
+    return base(spark, sf, "benchmark").select("item_id", cut.alias("kept"))
 
 
 @query(ctes("points") + "SELECT point_id, (floor(x / 7) * 100 + floor(y / 7))::BIGINT AS tile_id FROM points WHERE x < 49 AND y < 35")
@@ -125,10 +125,10 @@ def join_recover_from_prose(spark, sf):
     return recovery.recover(v, recovery.places_in_prose(_prose(spark, sf), "id", "text", _names(spark, sf)).where("kind = 'village'"))
 
 
-@query(ctes("rec_values") + "SELECT id, 'owner_name' AS field_key, owner_name AS suggestion, 0.70::DOUBLE AS confidence FROM rec_values WHERE owner_name IS NOT NULL AND confidence < 0.80 AND id % 2 = 0")
+@query(ctes("rec_values") + "SELECT id, 'owner_name' AS field_key, upper(owner_name) AS suggestion, 0.70::DOUBLE AS confidence FROM rec_values WHERE owner_name IS NOT NULL AND confidence < 0.80 AND id % 2 = 0")
 def join_adopt_suggestions(spark, sf):
     v = frame(spark, sf, "rec_values").where("owner_name IS NOT NULL")
     fields = v.select("id", F.lit("owner_name").alias("field_key"), F.col("owner_name").alias("value"), "confidence")
     said = v.select("id", F.lit("owner_name").alias("field_key"), F.upper("owner_name").alias("suggestion"))
     texts = v.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("sold by "), F.lower("owner_name"))).otherwise("nothing here, x").alias("text"))
-    return recovery.adopt_suggestions(fields, said, texts).join(v.select("id", "owner_name"), "id").select("id", "field_key", F.col("owner_name").alias("suggestion"), "confidence")
+    return recovery.adopt_suggestions(fields, said, texts)

@@ -331,14 +331,15 @@ def place_exact(spark, sf):
     return geocode.candidates(_named(spark, sf), _places(spark, sf), FIELDS).select("id", "field", "name")
 
 
-RESOLVED = ctes("rec_values") + f""", f AS (SELECT id, {NAMED.format('n.n_name')} AS d, rg.r_name AS d_state, s.r_name AS s FROM rec_values v LEFT JOIN nation n ON n_name = district LEFT JOIN region rg ON n.n_regionkey = rg.r_regionkey LEFT JOIN region s ON lower(s.r_name) = lower(state))
+RESOLVED = ctes("rec_values") + f""", f AS (SELECT id, {NAMED.format('n.n_name')} AS d, rg.r_name AS d_state, s.r_name AS s, n.n_nationkey AS n_key, n.n_regionkey AS d_key, s.r_regionkey AS s_key FROM rec_values v LEFT JOIN nation n ON n_name = district LEFT JOIN region rg ON n.n_regionkey = rg.r_regionkey LEFT JOIN region s ON lower(s.r_name) = lower(state))
 SELECT id, CASE WHEN d IS NOT NULL AND (s IS NULL OR s = d_state) THEN d ELSE s END AS name, CASE WHEN d IS NOT NULL AND (s IS NULL OR s = d_state) THEN 'district' ELSE 'state' END AS level, CASE WHEN d IS NOT NULL AND (s IS NULL OR s = d_state) THEN 40000 ELSE 300000 END AS accuracy_m,
+  CASE WHEN d IS NOT NULL AND (s IS NULL OR s = d_state) THEN n_key ELSE s_key END::DOUBLE AS lat, CASE WHEN d IS NOT NULL AND (s IS NULL OR s = d_state) THEN d_key ELSE 0 END::DOUBLE AS lon,
   d IS NOT NULL AND s IS NOT NULL AND s = d_state AS corroborated, CASE WHEN d IS NOT NULL AND s <> d_state THEN concat(d, ':', d_state) ELSE '' END AS conflicts FROM f WHERE d IS NOT NULL OR s IS NOT NULL"""
 
 
 @query(RESOLVED)
 def place_resolve(spark, sf):
-    return geocode.resolve(_named(spark, sf), _places(spark, sf), FIELDS).drop("lat", "lon")
+    return geocode.resolve(_named(spark, sf), _places(spark, sf), FIELDS)
 
 
 @query(f"SELECT id, conflicts FROM ({RESOLVED}) WHERE conflicts <> ''")
