@@ -51,8 +51,8 @@ def parse_date(raw: Column) -> Column:
 
 
 _NEXT = r"(?![\wऀ-෿])"
-_UNIT = "|".join(re.escape(s).replace(r"\ ", " ") for s, _ in SPELLINGS)
-_PART, _FAR = rf"\d+(?:\.\d+)?\s*(?:{_UNIT}){_NEXT}", rf"(\d+(?:\.\d+)?)\s+[a-z]{{1,4}}\.?\s+({_UNIT}){_NEXT}"
+AREA_UNIT = "|".join(re.escape(s).replace(r"\ ", " ") for s, _ in SPELLINGS)
+_PART, _FAR = rf"\d+(?:\.\d+)?\s*(?:{AREA_UNIT}){_NEXT}", rf"(\d+(?:\.\d+)?)\s+[a-z]{{1,4}}\.?\s+({AREA_UNIT}){_NEXT}"
 
 
 def parse_area(raw: Column) -> Column:

@@ -188,9 +188,9 @@ def win_ensure_users(spark, sf):
 
 
 @query("""SELECT l_orderkey AS page, round(coalesce(avg(conf) FILTER (trim(word) <> '' AND conf >= 0), 0), 6) AS mean_confidence, coalesce(sum(length(trim(word))) FILTER (trim(word) <> '' AND conf >= 50), 0)::BIGINT AS confident_chars
-FROM (SELECT l_orderkey, CASE l_linenumber WHEN 3 THEN ' ' ELSE concat(' ', l_shipmode) END AS word, (l_partkey % 120 - 10)::DOUBLE AS conf FROM lineitem) GROUP BY 1""")
+FROM (SELECT l_orderkey, CASE l_linenumber WHEN 3 THEN ' ' ELSE concat(' ', l_returnflag) END AS word, (l_partkey % 120 - 10)::DOUBLE AS conf FROM lineitem) GROUP BY 1""")
 def agg_reading_summary(spark, sf):
-    w = base(spark, sf, "lineitem").select(c("l_orderkey").alias("page"), F.when(c("l_linenumber") == 3, " ").otherwise(F.concat(F.lit(" "), "l_shipmode")).alias("text"), (c("l_partkey") % 120 - 10).cast("double").alias("conf"))
+    w = base(spark, sf, "lineitem").select(c("l_orderkey").alias("page"), F.when(c("l_linenumber") == 3, " ").otherwise(F.concat(F.lit(" "), "l_returnflag")).alias("text"), (c("l_partkey") % 120 - 10).cast("double").alias("conf"))
     return measures.reading_summary(w, "page")
 
 
@@ -216,16 +216,15 @@ def geo_rings_of(spark, sf):
     return r.select(F.get("ring", 0)["y"].cast("bigint").alias("p_partkey"), "name", F.when(F.get("ring", 0)["x"] == 1, "geo").otherwise("pixel").alias("source"))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS sheet, count(*) AS n, max(CASE WHEN l_linenumber = 5 AND l_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS bad FROM lineitem GROUP BY 1 HAVING count(*) >= 6)
-SELECT sheet, CASE WHEN bad = 1 THEN 1 ELSE 0 END::INT AS dropped, n - bad AS points, true AS passed FROM p""")
+@query("SELECT p_partkey AS sheet, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END::INT AS dropped, CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 6 END::BIGINT AS points, true AS passed FROM part")
 def math_control_fit_robust(spark, sf):
-    """Control points on an exact grid; on every second sheet the fifth one is far off."""
-    n = c("l_linenumber")
-    px, py = (n * 100).cast("double"), (n * n * 10).cast("double")
-    wrong = F.when((n == 5) & (c("l_orderkey") % 2 == 0), 0.01).otherwise(0.0)
-    rows = base(spark, sf, "lineitem").select(c("l_orderkey").alias("sheet"), n.alias("point_id"), px.alias("px"), py.alias("py"), (px * 1e-5 + 80 + wrong).alias("lon"), (py * -1e-5 + 25).alias("lat"))
-    full = rows.join(rows.groupBy("sheet").count().where("count >= 6").select("sheet"), "sheet")
-    return measures.control_fit_robust(full, "sheet", most=2).select("sheet", "dropped", "points", "passed")
+    """Six control points a sheet; on every second one the point in the middle is far off."""
+    at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), c("point_id"))
+    p = base(spark, sf, "part").select(c("p_partkey").alias("sheet"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("point_id"))
+    p = p.withColumn("px", at((0, 1000, 0, 1000, 500, 500))).withColumn("py", at((0, 0, 1000, 1000, 500, 0)))
+    wrong = F.when((c("point_id") == 5) & (c("sheet") % 2 == 0), 0.01).otherwise(0.0)
+    points = p.select("*", (c("px") * 1e-5 + 80 + wrong).alias("lon"), (c("py") * -1e-5 + 25).alias("lat"))
+    return measures.control_fit_robust(points, "sheet", most=2).select("sheet", "dropped", "points", "passed")
 
 
 @query(ctes("rec_audit") + "SELECT document_id, count(*) AS entries, true AS ok FROM rec_audit GROUP BY document_id")

@@ -219,6 +219,13 @@ def read_extract_fields(spark, sf):
     return extraction.extract_fields(_form_lines(spark, sf))
 
 
+@query(ctes("rec_values") + """SELECT id AS doc, 'village' AS field_key, village AS value, 0.9158::DOUBLE AS confidence, 3 AS line_no, 'extracted' AS status FROM rec_values WHERE khasra_number IS NOT NULL AND owner_name IS NOT NULL AND area IS NOT NULL AND village IS NOT NULL
+UNION ALL SELECT id, 'owner_name', owner_name, CASE WHEN regexp_matches(owner_name, '[0-9]') THEN 0.7334 ELSE 0.8398 END, 1, 'needs_review' FROM rec_values WHERE khasra_number IS NOT NULL AND owner_name IS NOT NULL AND area IS NOT NULL AND village IS NOT NULL""")
+def read_extract_named(spark, sf):
+    """Owners beside their label, and villages on the line below it."""
+    return extraction.extract_fields(_form_lines(spark, sf)).where("field_key IN ('owner_name', 'village')")
+
+
 @query()
 def str_fuzzy_label(spark, sf):
     heads = F.array(*[F.lit(x) for x in ("khasra nunber", "vilage", "ownr name", "distict", "something else")])
