@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
@@ -14,6 +15,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 
@@ -69,6 +71,10 @@ def rows_to_lines(rows: list[list[str]]) -> list[str]:
     return out + [" | ".join(c for c in r if c) for r in rest]
 
 
+# one field may be as long as a file
+csv.field_size_limit(2**31 - 1)
+
+
 def sniff_delimiter(sample: str) -> str:
     try:
         return csv.Sniffer().sniff(sample[:8192], delimiters=",;\t|").delimiter
@@ -177,19 +183,28 @@ READERS: dict[str, Callable[[bytes], list[str]]] = {
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, engine and lines of every file under a path, by extension; engine is unsupported for others."""
-    files = spark.read.format("binaryFile").load(path)
+    """path, engine, lines and reason of every file under a path, by extension; engine is unsupported for others.
 
-    @F.pandas_udf("array<string>")
-    def lines(name: pd.Series, content: pd.Series) -> pd.Series:
-        def one(n: str, c: bytes) -> list[str]:
-            reader = READERS.get(n.rsplit(".", 1)[-1].lower())
-            return reader(c) if reader else []
+    A file that its reader cannot make out has null lines and the reason; it never fails the job.
+    """
+    files = spark.read.format("binaryFile").load(path)
 
-        return pd.Series([one(n, c) for n, c in zip(name, content, strict=True)])
+    @F.pandas_udf(T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType())]))
+    def lines(name: pd.Series, content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([attempted(READERS.get(n.rsplit(".", 1)[-1].lower()), c) for n, c in zip(name, content, strict=True)], columns=["lines", "reason"])
 
     ext = F.lower(F.substring_index("path", ".", -1))
-    return files.select("path", F.when(ext.isin(*READERS), ext).otherwise("unsupported").alias("engine"), lines("path", "content").alias("lines"))
+    return files.select("path", F.when(ext.isin(*READERS), ext).otherwise("unsupported").alias("engine"), lines("path", "content").alias("r")).select("path", "engine", "r.lines", "r.reason")
+
+
+def attempted(reader, content: bytes) -> tuple[list[str] | None, str | None]:
+    """What a reader makes of a file, or why it makes nothing of it."""
+    if reader is None:
+        return [], None
+    try:
+        return reader(content), None
+    except (ValueError, LookupError, TypeError, AttributeError, RecursionError, struct.error, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as why:
+        return None, f"{type(why).__name__}: {why}"
 
 
 def page_lines(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -248,16 +263,21 @@ def world_file(text: Column) -> Column:
 
 
 def shp_rings(data: bytes) -> list[list[tuple[float, float]]]:
-    """The outer rings (clockwise in the file, turned here) of each polygon record: the largest one."""
+    """The outer rings (clockwise in the file, turned here) of each polygon record: the largest one. A cut-off record ends the file."""
     out, at = [], 100
     while at + 12 <= len(data):
         size = struct.unpack_from(">i", data, at + 4)[0] * 2
         kind = struct.unpack_from("<i", data, at + 8)[0]
         body, at = at + 8, at + 8 + size
+        if size < 4 or at > len(data):
+            break
         if kind not in (5, 15, 25):
             out.append([])
             continue
-        n_parts, n_points = struct.unpack_from("<2i", data, body + 36)
+        n_parts, n_points = struct.unpack_from("<2i", data, body + 36) if size >= 44 else (0, 0)
+        if n_parts < 1 or n_points < 1 or 44 + 4 * n_parts + 16 * n_points > size:
+            out.append([])
+            continue
         parts = [*struct.unpack_from(f"<{n_parts}i", data, body + 44), n_points]
         xy = struct.unpack_from(f"<{2 * n_points}d", data, body + 44 + 4 * n_parts)
         points = list(zip(xy[::2], xy[1::2], strict=True))
@@ -271,15 +291,19 @@ def shp_rings(data: bytes) -> list[list[tuple[float, float]]]:
 
 
 def dbf_rows(data: bytes, encoding: str = "latin-1") -> list[dict[str, str]]:
-    """The records of a dBASE table as text by field; deleted ones are kept under `_deleted`."""
+    """The records of a dBASE table as text by field; deleted ones are kept under `_deleted`, cut-off ones left out."""
+    if len(data) < 32:
+        return []
     n, head, size = struct.unpack_from("<IHH", data, 4)
     fields, at = [], 32
-    while data[at] != 0x0D:
+    while at + 17 <= len(data) and data[at] != 0x0D:
         fields.append((data[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), data[at + 16]))
         at += 32
     out = []
     for k in range(n):
         row, place = data[head + k * size : head + (k + 1) * size], 1
+        if not size or len(row) < size:
+            break
         rec = {"_deleted": "1" if row[:1] == b"*" else ""}
         for name, width in fields:
             rec[name] = row[place : place + width].decode(encoding, "replace").strip()
@@ -297,15 +321,37 @@ def pick_khasra(names: Column) -> Column:
     return F.coalesce(*[F.when(F.array_contains(flat, k), F.get(names, (F.array_position(flat, F.lit(k)) - 1).cast("int"))) for k in KHASRA_NAMES])
 
 
+def crs_of(wkt: Column) -> Column:
+    """struct<name, projected> of a .prj text; null without one."""
+    name = F.nullif(F.regexp_extract(wkt, r'^\s*[A-Za-z]+\s*\[\s*"([^"]*)"', 1), F.lit(""))
+    return F.when(wkt.isNotNull(), F.struct(name.alias("name"), wkt.rlike(r"(?i)^\s*PROJ").alias("projected")))
+
+
+def encoding_of(cpg: str | None, language: int | None, default: str = "latin-1") -> str:
+    """The code page of a .dbf: what the .cpg names, else the table's own mark for UTF-8, else `default`."""
+    name = (cpg or "").strip().lower().replace("ansi ", "cp")
+    name = f"cp{name}" if name.isdigit() else name
+    try:
+        return codecs.lookup(name).name if name else ("utf-8" if language == 0x08 else default)
+    except LookupError:
+        return default
+
+
 def read_shapefile(spark: SparkSession, path: str, encoding: str = "latin-1") -> DataFrame:
-    """parcel_no, attributes and ring of the .shp and .dbf under a path."""
+    """stem, parcel_no, attributes, ring, crs and warnings of every .shp under a path, with the .dbf, .prj and .cpg beside it."""
     both = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", r"\.[^.]*$", "").alias("stem"), F.lower(F.substring_index("path", ".", -1)).alias("ext"), "content")
-    wide = both.groupBy("stem").agg(F.max_by("content", F.col("ext") == "shp").alias("shp"), F.max_by("content", F.col("ext") == "dbf").alias("dbf"), F.array_contains(F.collect_set("ext"), "shp").alias("has")).where("has")
+    wide = both.groupBy("stem").agg(*[F.max(F.when(F.col("ext") == e, F.col("content"))).alias(e) for e in ("shp", "dbf", "prj", "cpg")]).where("shp IS NOT NULL")
 
     def parse(it):
         for pdf in it:
-            for _, r in pdf.iterrows():
-                rings, rows = shp_rings(r["shp"]), dbf_rows(r["dbf"], encoding) if r["dbf"] is not None and r["dbf"] != r["shp"] else []
-                yield pd.DataFrame({"parcel_no": range(1, len(rings) + 1), "attributes": [rows[k] if k < len(rows) else {} for k in range(len(rings))], "ring": [[{"x": x, "y": y} for x, y in ring] for ring in rings]})
-
-    return wide.select("shp", "dbf").mapInPandas(parse, f"parcel_no int, attributes map<string,string>, ring {g.RING}")
+            for r in pdf.itertuples():
+                cpg = None if r.cpg is None else bytes(r.cpg).decode("ascii", "replace")
+                page = encoding_of(cpg, r.dbf[29] if r.dbf is not None and len(r.dbf) > 29 else None, encoding)
+                rings, why = attempted(shp_rings, r.shp)
+                rows, why_not = attempted(lambda b: dbf_rows(b, page), r.dbf) if r.dbf is not None else ([], "no .dbf")
+                rings, rows = rings or [], rows or []
+                said = [x for x in (why, why_not, "no .prj" if r.prj is None else None, f"{len(rings)} shapes, {len(rows)} records" if rows and len(rows) != len(rings) else None) if x]
+                yield pd.DataFrame({"stem": [r.stem] * len(rings), "parcel_no": range(1, len(rings) + 1), "attributes": [rows[k] if k < len(rows) else {} for k in range(len(rings))], "ring": [[{"x": x, "y": y} for x, y in ring] for ring in rings], "prj": [None if r.prj is None else bytes(r.prj).decode("utf-8", "replace")] * len(rings), "warnings": [said] * len(rings)})
+
+    read = wide.mapInPandas(parse, f"stem string, parcel_no int, attributes map<string,string>, ring {g.RING}, prj string, warnings array<string>")
+    return read.withColumn("crs", crs_of(F.col("prj"))).drop("prj")

@@ -53,3 +53,27 @@ def test_shapefile(spark, tmp_path):
     assert row.attributes["KHASRA_NO"] == "213/1" and [(p.x, p.y) for p in row.ring] == [(2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
     names = spark.createDataFrame([(["NAME", "Khasra_No"],)], "n array<string>")
     assert names.select(readers.pick_khasra(F.col("n"))).first()[0] == "Khasra_No"
+
+
+def test_readers_never_fail_the_job(spark, tmp_path):
+    """Truncated and overlong files give what is whole, or null and a reason."""
+    head = b"\0" * 100
+    square = struct.pack("<4d2i1i10d", 0, 0, 1, 1, 1, 5, 0, 0, 0, 0, 1, 1, 1, 1, 0, 0, 0)
+    body = struct.pack("<i", 5) + square
+    record = struct.pack(">2i", 1, len(body) // 2) + body
+    table = struct.pack("<4xIHH", 2, 65, 6) + b"\0" * 20 + b"KHASRA".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([5]) + b"\0" * 15 + b"\r" + b" 12/1 " + b" 1"
+    (tmp_path / "a.shp").write_bytes(head + record + record[:40])
+    (tmp_path / "a.dbf").write_bytes(table)
+    (tmp_path / "a.prj").write_text('PROJCS["WGS 84 / UTM zone 44N",GEOGCS["x"]]')
+    (r,) = readers.read_shapefile(spark, str(tmp_path / "a.*")).collect()
+    assert len(r.ring) == 4 and r.attributes["KHASRA"] == "12/1" and r.crs.name == "WGS 84 / UTM zone 44N" and r.crs.projected and r.warnings == []
+    for cut in range(0, len(record) + 100, 7):
+        assert len(readers.shp_rings((head + record)[:cut])) <= 1
+    for cut in range(0, len(table), 3):
+        readers.dbf_rows(table[:cut])
+    assert readers.encoding_of("65001", None) == readers.encoding_of(None, 8) == "utf-8" or readers.encoding_of("UTF-8", None) == "utf-8"
+    (tmp_path / "long.csv").write_text("a," + "x" * 300_000 + "\n")
+    (tmp_path / "bad.docx").write_bytes(b"PK not a zip")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in readers.read_files(spark, str(tmp_path / "*.[cd][so][vc]*")).collect()}
+    assert "x" * 300_000 in got["long.csv"].lines[0] and got["long.csv"].reason is None
+    assert readers.attempted(lambda b: b[9], b"") == (None, "IndexError: index out of range")
