@@ -34,15 +34,15 @@ LOOSE = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None),
     ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?", ". "),
 )
-#: Gazetteers and cue words, fixed lists.
+#: Gazetteers (endings of domains, calling codes, common names) and cue words, fixed lists.
 KNOWN = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu)$",
+    "email": r"(?i)\.(?:com|org|net|edu|gov|mil|int|info|biz|io|app|dev|ai|co|me|eu|at|au|be|br|ca|ch|cn|cz|de|dk|es|fi|fr|gr|hu|ie|il|in|it|jp|kr|mx|nl|no|nz|pl|pt|ro|ru|se|sg|tr|tw|ua|uk|us|za)$",
     "ip": r"^(?:10|127|172|192)\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^(?:\+(?:1|33|34|44|49|91)[^0-9]|\(?[2-9])",
+    "phone": r"^(?:\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1236]|35[1-9]|37[0-9]|38[0-9]|42[01]|97[0-7])[^0-9]|\(?[2-9])",
     "secret": r"^AKIA|[0-9]",
     "ssn": r"^(?!000|666|9)",
-    "name": r"(?i)(?:john|jane|mary|anna|peter|paul|maria|james|david|smith|miller|schmidt|martin|garcia|lopez)",
+    "name": r"(?i)\b(?:james|john|robert|michael|william|david|richard|joseph|thomas|charles|mary|patricia|jennifer|linda|elizabeth|barbara|susan|jessica|sarah|karen|jane|anna|peter|paul|george|daniel|mark|laura|emma|alice|hans|karl|klaus|ursula|monika|pierre|jean|marie|claire|luc|jose|juan|carlos|maria|carmen|ana|luis|smith|johnson|williams|brown|jones|davis|miller|wilson|moore|taylor|anderson|jackson|white|harris|clark|lewis|walker|hall|young|king|wright|green|baker|mueller|schmidt|schneider|fischer|weber|meyer|wagner|becker|hoffmann|martin|bernard|dubois|durand|moreau|garcia|lopez|gonzalez|rodriguez|fernandez|martinez|sanchez|perez)\b",
 }
 CUES = {
     "email": r"(?i)(?:e-?mail|contact|write|reach|mailto|correo|courriel)",
@@ -60,18 +60,49 @@ VOTES = ("shape", "known", "cue", "against", "edges")
 ROUNDS, STEPS, RATE = 60, 400, 0.5
 
 
+def _let(value: Column, body) -> Column:
+    """`body` over a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Matches that are placed at a time: an array grows by copying, so long ones are made of short ones.
+PLACED = 64
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of a pattern's matches, leftmost and without overlap, in code points."""
-    kind = "array<struct<start:int,end:int,hit:string>>"
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    """array<struct<start, end, hit, before, after>> of a pattern's matches, leftmost and without overlap, in code points.
+
+    `before` has up to CONTEXT characters, from after the match before the last one; `after` has one.
+    """
+    kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    empty = F.lit("")
+
+    def placed(cut: Column) -> Column:
+        gap, hit = (lambda i: F.coalesce(F.get(cut["gaps"], i), empty)), (lambda i: F.coalesce(F.get(cut["hits"], i), empty))
+
+        def one(x: Column, i: Column) -> Column:
+            before = F.right(F.concat(gap(i - 1), hit(i - 1), gap(i)), F.lit(CONTEXT))
+            return F.struct(F.length(gap(i)).alias("gap"), x.alias("hit"), before.alias("before"), F.left(F.concat(gap(i + 1), hit(i + 1)), F.lit(1)).alias("after"))
+
+        return F.transform(cut["hits"], one)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def runs(found: Column) -> Column:
+        last = F.floor((F.size(found) - 1) / PLACED).cast("int")
+        return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.aggregate(F.slice(found, i * PLACED + 1, PLACED), zero, step)))
+
+    def moved(done: Column) -> Column:
+        begin = F.aggregate(done, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(done, begin, lambda r, o: F.transform(r["out"], lambda x: F.struct((x["start"] + o).alias("start"), (x["end"] + o).alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after")))))
 
-    return F.aggregate(F.filter(pieces, lambda x: x["hit"].isNotNull()), zero, step)["out"]
+    cut = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.coalesce(_let(_let(_let(cut, placed), runs), lambda done: F.when(done.isNotNull(), moved(done))), F.array().cast(kind))
 
 
 def _digits(hit: Column) -> Column:
@@ -97,12 +128,12 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<start:int,end:int,kind:int,base:boolean,hit:string>>"
+SPAN = "array<struct<start:int,end:int,kind:int,base:boolean,hit:string,before:string,after:string>>"
 
 
 def _found(text: Column, kind: str, pattern: str, base: bool, needed: Column) -> Column:
     found = F.filter(_spans(text, pattern), lambda x: _valid(kind, x["hit"]) if base else F.lit(True))
-    tagged = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"), x["hit"].alias("hit")))
+    tagged = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"), *[x[c].alias(c) for c in ("hit", "before", "after")]))
     return F.coalesce(F.when(needed, tagged.cast(SPAN)), F.array().cast(SPAN))
 
 
@@ -113,9 +144,8 @@ def _by_kind(table: dict[str, str], kind: Column, value: Column) -> Column:
     return out
 
 
-def _voted(text: Column, x: Column) -> Column:
-    before = F.substr(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-    after = F.substr(text, x["end"] + 1, F.lit(1))
+def _voted(x: Column) -> Column:
+    before, after = x["before"], x["after"]
     one, zero, none = F.lit(1), F.lit(0), F.lit(-1)
     length = F.length(x["hit"])
     shape = F.when(x["base"], one).when((length >= 7) & (length <= 80), one).otherwise(zero)
@@ -142,7 +172,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     loose = F.concat(*[_found(text, kind, pattern, False, text.rlike(pattern) if need is None else F.contains(text, F.lit(need))) for kind, pattern, need in LOOSE])
     t = t.withColumn("base", base).withColumn("loose", loose)
     apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return t.select("doc_id", F.transform(F.concat("base", apart), lambda x: _voted(text, x)).alias("spans"))
+    return t.select("doc_id", F.transform(F.concat("base", apart), _voted).alias("spans"))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[float], list[tuple[float, float]], float]:

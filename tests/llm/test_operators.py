@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -435,3 +436,44 @@ def test_empty_tables(spark):
         html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
         assert df.collect() == []
+
+
+def test_pii_added_kinds_on_labelled_texts(spark):
+    """Precision and recall of each added kind on texts whose spans are known."""
+    r = random.Random(11)
+    first, last = ("Maria", "John", "Xqor", "Peter", "Vandel"), ("Lopez", "Smith", "Brixo", "Weber", "Qualm")
+    digits = lambda n: "".join(r.choice("23456789") for _ in range(n))
+    make = {
+        "ssn": lambda: ("his social security number ", f"{digits(3)}-{digits(2)}-{digits(4)}"),
+        "secret": lambda: ("set ", f"api_key={digits(4)}abcd{digits(4)}") if r.random() < 0.5 else ("the key ", "AKIA" + "".join(r.choice("ABCDEFGH2345") for _ in range(16))),
+        "name": lambda: ("dear ", f"{r.choice(('Mr', 'Mrs', 'Dr'))}. {r.choice(first)} {r.choice(last)}"),
+        "phone": lambda: ("call ", f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        "email": lambda: ("write to ", f"user{digits(2)} [at] mail[dot]com"),
+    }
+    traps = ("version 123-45-678 and 12-34-5678", "the token of thanks", "Mr and Mrs went home", "chapter 555 in 1234", "meet at five dot com")
+    texts, truth = [], []
+    for k in range(300):
+        parts, spans = [], []
+        for _ in range(r.randint(0, 3)):
+            kind = r.choice(sorted(make))
+            lead, body = make[kind]()
+            parts += [r.choice(traps), lead]
+            at = len(" ; ".join(parts))
+            parts[-1] = lead + body
+            spans.append(f"{kind}:{at}:{at + len(body)}")
+        texts.append(" ; ".join(parts) + " and no more")
+        truth.append(set(spans))
+    got = {x.doc_id: set(filter(None, x.spans.split(","))) for x in pii.digests(pii.pii_spans(frame(spark, texts))).collect()}
+    ids = sorted(got)
+    for kind in make:
+        want = [(i, s) for i, t in zip(ids, truth, strict=True) for s in t if s.startswith(kind + ":")]
+        have = [(i, s) for i in ids for s in got[i] if s.startswith(kind + ":")]
+        both = len(set(want) & set(have))
+        assert both >= 0.9 * len(want) and both >= 0.9 * len(have), (kind, len(want), len(have), both)
+
+
+def test_pii_of_a_text_full_of_addresses(spark):
+    text = " ".join(f"user{k}@mail{k % 7}.org" for k in range(20_000))
+    began = time.perf_counter()
+    (row,) = pii.digests(pii.pii_spans(frame(spark, [text]))).collect()
+    assert row.n_email == 20_000 and time.perf_counter() - began < 60
