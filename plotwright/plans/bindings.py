@@ -98,6 +98,10 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_re
 SELECT concat('REG-', c_custkey) AS source_id, concat(c_custkey, '/', 1 + c_custkey % 9) AS khasra_number, concat('', c_custkey) AS khata_number, concat('village ', c_custkey % 60) AS village, n_name AS district,
   CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Someone Else' END AS owner_name, CAST(1000 + c_custkey % 9 * 700 AS DOUBLE) AS area_sqm, CASE c_custkey % 3 WHEN 0 THEN 'residential' WHEN 1 THEN 'forest' ELSE 'barren' END AS land_classification
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    # a second registry: a parcel per supplier
+    "registry_offices": """
+SELECT concat('OFF-', s_suppkey) AS source_id, concat(s_suppkey % 500, '/', 1 + s_suppkey % 9) AS khasra_number, concat('', s_suppkey * 7 % 3000) AS khata_number, concat('village ', s_suppkey % 60) AS village, n_name AS district
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
     # heights sampled under the footprint of each supplier's building
     "heights": """
 SELECT l_suppkey AS footprint_id, CASE WHEN l_partkey % 50 = 0 THEN -99.0 ELSE l_quantity * 0.3 - 0.5 END AS height_m

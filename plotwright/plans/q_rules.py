@@ -277,7 +277,7 @@ def rule_fact_check_fuzzy_owner(spark, sf):
 
 @query()
 def topk_registry_best_match(spark, sf):
-    return registry.best_match(frame(spark, sf, VALUES).where("khasra_number IS NOT NULL AND village IS NOT NULL"), frame(spark, sf, "registry"))
+    return registry.best_match(frame(spark, sf, VALUES).where("khasra_number IS NOT NULL AND village IS NOT NULL"), frame(spark, sf, "registry_offices"))
 
 
 #: A phrase table that the invented prose can meet; the shipped one is for land records.

