@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,49 +23,48 @@ def digest(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(previous, F.lit(GENESIS)), F.lit("\n"), payload), 256)
 
 
+def _folded(log: DataFrame, columns: tuple[str, ...], chain_col: str | None, order_col: str) -> DataFrame:
+    """`log` (with prev_hash and entry_hash) with the hashes of entries that have none, each chained to the entry before it.
+
+    The rows of a chain go to one task in order and pass through it as a stream: what it holds is a
+    batch and the last hash, and the time is linear in the chain. Entries of one place are taken
+    stored ones first, then by content.
+    """
+    key, names = [chain_col] if chain_col else [], log.columns
+    rows = log.withColumn("_p", canonical(*columns))
+    rows = (rows.repartition(*key) if key else rows.repartition(1)).sortWithinPartitions(*key, order_col, F.col("entry_hash").asc_nulls_last(), "_p")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, tip = object(), None
+        for b in batches:
+            before, own = b.column("prev_hash").to_pylist(), b.column("entry_hash").to_pylist()
+            chains = b.column(chain_col).to_pylist() if chain_col else [None] * len(own)
+            for n, (c, payload) in enumerate(zip(chains, b.column("_p").to_pylist(), strict=True)):
+                if c != chain:
+                    chain, tip = c, None
+                if own[n] is None:
+                    before[n] = tip
+                    own[n] = hashlib.sha256(f"{GENESIS if tip is None else tip}\n{payload}".encode()).hexdigest()
+                tip = own[n]
+            new = {"prev_hash": pa.array(before, pa.string()), "entry_hash": pa.array(own, pa.string())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
+
+    return rows.mapInArrow(fold, log.schema)
+
+
 def build(log: DataFrame, columns: tuple[str, ...], chain_col: str | None = None, order_col: str = "id") -> DataFrame:
     """The log with prev_hash and entry_hash.
 
     A chain is a fold in order, so each chain is built in one task; with `chain_col` there is a
-    chain per value, which is how a large log stays parallel.
+    chain per value, which is how a large log stays parallel. Entries without a value are a chain too.
     """
-    payload = log.withColumn("_p", canonical(*columns))
-    key = [chain_col] if chain_col else []
-    g = payload.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order_col, "_p"))).alias("rows"))
-    folded = F.aggregate(
-        "rows",
-        F.struct(F.lit(None).cast("string").alias("tip"), F.array().cast(f"array<struct<{order_col}:bigint,prev_hash:string,entry_hash:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            digest(acc["tip"], x["_p"]).alias("tip"),
-            F.concat(acc["out"], F.array(F.struct(x[order_col].cast("bigint").alias(order_col), acc["tip"].alias("prev_hash"), digest(acc["tip"], x["_p"]).alias("entry_hash")))).alias("out"),
-        ),
-    )
-    hashes = g.select(*key, F.explode(folded["out"]).alias("h")).select(*key, "h.*")
-    return log.join(hashes, [*key, order_col])
+    none = F.lit(None).cast("string")
+    return _folded(log.withColumn("prev_hash", none).withColumn("entry_hash", none), columns, chain_col, order_col)
 
 
 def seal(log: DataFrame, columns: tuple[str, ...], chain_col: str | None = None, order_col: str = "id") -> DataFrame:
-    """The log with hashes for the entries that have none: each is chained to the entry before it.
-
-    Stored hashes stay. Entries between two stored ones are folded from the first, so every stretch of
-    unsealed entries is a fold of its own and stretches run in parallel.
-    """
-    key = [chain_col] if chain_col else []
-    w = Window.partitionBy(*key).orderBy(order_col)
-    stretch = F.count("entry_hash").over(w)
-    rows = log.withColumn("_stretch", stretch).withColumn("_p", canonical(*columns))
-    g = rows.groupBy(*key, "_stretch").agg(F.max("entry_hash").alias("_tip"), F.array_sort(F.collect_list(F.when(F.col("entry_hash").isNull(), F.struct(order_col, "_p")))).alias("_rows"))
-    folded = F.aggregate(
-        "_rows",
-        F.struct(F.col("_tip").alias("tip"), F.array().cast(f"array<struct<{order_col}:bigint,prev:string,own:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            digest(acc["tip"], x["_p"]).alias("tip"),
-            F.concat(acc["out"], F.array(F.struct(x[order_col].cast("bigint").alias(order_col), acc["tip"].alias("prev"), digest(acc["tip"], x["_p"]).alias("own")))).alias("out"),
-        ),
-    )
-    hashes = g.select(*key, F.explode(folded["out"]).alias("h")).select(*key, "h.*")
-    j = log.join(hashes, [*key, order_col], "left")
-    return j.withColumn("prev_hash", F.when(F.col("entry_hash").isNull(), F.col("prev")).otherwise(F.col("prev_hash"))).withColumn("entry_hash", F.coalesce("entry_hash", "own")).drop("prev", "own")
+    """The log with hashes for the entries that have none: each is chained to the entry before it. Stored hashes stay."""
+    return _folded(log, columns, chain_col, order_col)
 
 
 def verify(log: DataFrame, columns: tuple[str, ...], chain_col: str | None = None, order_col: str = "id") -> DataFrame:

@@ -101,6 +101,23 @@ def test_chain_is_the_stated_digest(spark):
         assert r.entry_hash == before
 
 
+def test_long_chains_fold_in_one_pass_and_entries_without_a_chain_stay(spark):
+    import hashlib
+
+    log = spark.range(12_000).select("id", F.when(F.col("id") % 2 == 0, F.lit(7)).alias("document_id"), F.lit("read").alias("action"))
+    rows = audit.build(log, ("action", "id"), "document_id").orderBy("id").collect()
+    assert len(rows) == 12_000
+    tip = {}
+    for r in rows:
+        assert r.prev_hash == tip.get(r.document_id)
+        tip[r.document_id] = hashlib.sha256((tip.get(r.document_id, "0" * 64) + f'\n{{"action":"read","id":{r.id}}}').encode()).hexdigest()
+        assert r.entry_hash == tip[r.document_id]
+    holes = spark.createDataFrame(rows).withColumns({c: F.when(F.col("id") % 1000 < 400, F.col(c)) for c in ("prev_hash", "entry_hash")})
+    sealed = audit.seal(holes, ("action", "id"), "document_id")
+    assert sorted(sealed.select(*rows[0].__fields__).collect(), key=lambda r: r.id) == rows
+    assert "collect_list" not in sealed._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize(
     ("tamper", "want"),
     [
