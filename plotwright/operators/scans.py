@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from math import frexp, isfinite
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,29 +43,71 @@ def lonlat_fits(x0: Column, y0: Column, x1: Column, y1: Column, projected: Colum
     return F.when(projected, "projected").when((x0 < -180) | (x1 > 180) | (y0 < -90) | (y1 > 90), "out of range").when((x0 > x1) | (y0 > y1), "reversed")
 
 
+def _rows_of(fragments: list[tuple[float, float, float, str]]) -> list[str]:
+    """Texts of the rows of one page; its fragments (x0, y0, y1, text) come from the top.
+
+    Rows that end well above a fragment are done with, for no later one can reach them; where a box is
+    upside down that does not hold, and all rows stay open.
+    """
+    rows: list[list[tuple[float, float, float, str]]] = []
+    live: list[list[tuple[float, float, float, str]]] = []
+    ordered = all(f[2] >= f[1] for f in fragments)
+    sweep = 16
+    for f in fragments:
+        _, y0, y1, _ = f
+        if ordered and len(live) > sweep:
+            live = [r for r in live if r[0][2] >= y0 - 1.0]
+            sweep = max(16, 2 * len(live))
+        for row in live:
+            a = row[0]
+            if abs((y0 + y1) - (a[1] + a[2])) / 2 <= max(1.0, min(y1 - y0, a[2] - a[1])) * ROW_REACH:
+                row.append(f)
+                break
+        else:
+            row = [f]
+            rows.append(row)
+            live.append(row)
+    return [" ".join(" ".join(f[3] for f in (sorted(r, key=lambda f: f[0]) if len(r) > 1 else r)).split()) for r in rows]
+
+
 def visual_rows(words: DataFrame, key: str) -> DataFrame:
     """Fragments (x0, y0, x1, y1, text) of each page as rows of text.
 
     From the top, a fragment joins the first row whose first fragment's middle is within 0.55 of the
-    lower height. The order decides, so a page is one task.
+    lower height. The order decides, so a page is one task; pages stream through it in batches of rows.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_y=pdf["y0"].round(1)).sort_values(["_y", "x0", "text"])
-        rows: list[list] = []
-        for f in pdf.itertuples():
-            for row in rows:
-                a = row[0]
-                if abs((f.y0 + f.y1) - (a.y0 + a.y1)) / 2 <= max(1.0, min(f.y1 - f.y0, a.y1 - a.y0)) * ROW_REACH:
-                    row.append(f)
-                    break
-            else:
-                rows.append([f])
-        out = [" ".join(" ".join(f.text for f in sorted(r, key=lambda f: f.x0)).split()) for r in rows]
-        return pd.DataFrame({key: pdf[key].iloc[0], "line_no": range(len(out)), "text": out})
-
-    kind = dict(words.dtypes)[key]
-    return words.select(key, "x0", "y0", "x1", "y1", "text").groupBy(key).applyInPandas(one, f"{key} {kind}, line_no int, text string")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held, kind = None, [], None
+        pages, numbers, texts = [], [], []
+
+        def close() -> None:
+            out = _rows_of(held)
+            pages.extend([page] * len(out))
+            numbers.extend(range(len(out)))
+            texts.extend(out)
+
+        for b in batches:
+            kind = b.column(key).type
+            boxes = [b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("x0", "y0", "y1")]
+            for k, *f in zip(b.column(key).to_pylist(), *boxes, b.column("text").to_pylist(), strict=True):
+                if held and k != page:
+                    close()
+                    held = []
+                page = k
+                held.append(f)
+            if pages:
+                yield pa.RecordBatch.from_arrays([pa.array(pages, kind), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[key, "line_no", "text"])
+                pages, numbers, texts = [], [], []
+        if held:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(pages, kind), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[key, "line_no", "text"])
+
+    w = words.select(key, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "y1")], F.coalesce("text", F.lit("")).alias("text"))
+    # tenths as numpy rounds them
+    top = (F.rint(F.col("y0") * 10) / 10).asc_nulls_last()
+    ordered = w.repartition(key).sortWithinPartitions(key, top, F.col("x0").asc_nulls_last(), "text", "y0", "y1")
+    return ordered.mapInArrow(fold, f"{key} {dict(words.dtypes)[key]}, line_no int, text string")
 
 
 def choose_language(trials: DataFrame, key: str) -> DataFrame:
@@ -77,17 +124,48 @@ def plausible_regions(regions: DataFrame, key: str, page_area: Column) -> DataFr
     return sized.join(m, key).where(F.col("area") <= F.col("median_area") * REGION_MEDIAN).drop("median_area")
 
 
+def _kept_boxes(boxes: Iterable[tuple]) -> list:
+    """Ids of the boxes (id, x0, y0, x1, y1) that do not lie for over NESTED in one kept before.
+
+    A box that holds over half of another holds its middle. Kept boxes are filed by the powers of two
+    of their sides, in the four cells at most that each touches at that grain, so a box meets only those around its middle.
+    """
+    kept: list = []
+    at: dict[tuple, list[tuple[float, float, float, float]]] = {}
+    grains: set[tuple[float, float]] = set()
+    vast = []
+    for name, x0, y0, x1, y1 in boxes:
+        w, h = x1 - x0, y1 - y0
+        limit = NESTED * w * h
+        if limit < 0:
+            # one side is turned round: it shares nothing, which is over a negative part of it
+            if not kept:
+                kept.append(name)
+            continue
+        if w > 0 and h > 0:
+            mx, my = x0 + w / 2, y0 + h / 2
+            near = chain(vast, *(at.get((gx, gy, mx // gx, my // gy), ()) for gx, gy in grains)) if isfinite(mx) and isfinite(my) else chain(vast, *at.values())
+            if any(max(0.0, min(x1, k[2]) - max(x0, k[0])) * max(0.0, min(y1, k[3]) - max(y0, k[1])) > limit for k in near):
+                continue
+            box = (x0, y0, x1, y1)
+            if isfinite(w) and isfinite(h):
+                gx, gy = 2.0 ** frexp(w)[1], 2.0 ** frexp(h)[1]
+                grains.add((gx, gy))
+                for cell in {(gx, gy, i // gx, j // gy) for i in (x0, x1) for j in (y0, y1)}:
+                    at.setdefault(cell, []).append(box)
+            else:
+                vast.append(box)
+        kept.append(name)
+    return kept
+
+
 def drop_nested(masks: DataFrame, key: str) -> DataFrame:
     """Boxes that do not lie for over 0.8 in a larger kept one; largest first, so a sheet is one task."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_a=(pdf["x1"] - pdf["x0"]) * (pdf["y1"] - pdf["y0"])).sort_values(["_a", "mask_id"], ascending=[False, True])
-        kept: list = []
-        for m in pdf.itertuples():
-            inside = (max(0.0, min(m.x1, k.x1) - max(m.x0, k.x0)) * max(0.0, min(m.y1, k.y1) - max(m.y0, k.y0)) for k in kept)
-            if not any(i > NESTED * (m.x1 - m.x0) * (m.y1 - m.y0) for i in inside):
-                kept.append(m)
-        return pd.DataFrame({key: [getattr(m, key) for m in kept], "mask_id": [m.mask_id for m in kept]})
+        kept = _kept_boxes(zip(*(pdf[c].tolist() for c in ("mask_id", "x0", "y0", "x1", "y1")), strict=True))
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), "mask_id": kept})
 
     kinds = dict(masks.dtypes)
     return masks.select(key, "mask_id", "x0", "y0", "x1", "y1").groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, mask_id {kinds['mask_id']}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions.similarity import indel
 from plotwright.functions.vocab import FIELD
-from plotwright.operators import correction, enrichment, extraction, process, registry, rules, topology
+from plotwright.operators import correction, enrichment, extraction, process, registry, rules, scans, topology
 
 ADMIN = [("Uttar Pradesh", "Lucknow", "Malihabad", "Rampur"), ("Uttar Pradesh", "Lucknow", "Malihabad", "Rampura"), ("Uttar Pradesh", "Lucknow", "Mohanlalganj", "Nigohan"), ("Bihar", "Patna", "Danapur", "Khagaul")]
 
@@ -138,3 +138,53 @@ def test_common_area_against_samples(seed):
 
 def test_vocabulary_issues_have_a_weight():
     assert set(enrichment.VOCABULARY.values()) == {"info", "warning"}
+
+
+def test_nested_boxes_against_all_pairs_and_many_at_once():
+    import time
+
+    r = random.Random(4)
+    for _ in range(150):
+        boxes = []
+        for n in range(60):
+            x, y, w, h = (round(r.uniform(-4, 4), 1) for _ in range(4))
+            boxes.append((n, x, y, x + (w if r.random() < 0.1 else abs(w) * r.choice((0, 0.1, 1, 9))), y + abs(h)))
+        boxes.sort(key=lambda b: (-(b[3] - b[1]) * (b[4] - b[2]), b[0]))
+        kept: list = []
+        for b in boxes:
+            inside = (max(0.0, min(b[3], k[3]) - max(b[1], k[1])) * max(0.0, min(b[4], k[4]) - max(b[2], k[2])) for k in kept)
+            if not any(i > 0.8 * (b[3] - b[1]) * (b[4] - b[2]) for i in inside):
+                kept.append(b)
+        assert scans._kept_boxes(boxes) == [k[0] for k in kept]
+    start = time.monotonic()
+    assert len(scans._kept_boxes((n, n % 200, n // 200, n % 200 + 1, n // 200 + 1) for n in range(20_000))) == 20_000
+    assert time.monotonic() - start < 5
+
+
+def test_rows_of_a_page_against_all_rows():
+    r = random.Random(6)
+    for _ in range(300):
+        page = []
+        for n in range(r.randint(1, 80)):
+            y = r.uniform(0, 60)
+            page.append([r.uniform(0, 9), y, y + r.choice((0.2, 1, 3, 30)) * r.choice((1, 1, 1, 1, -1 if r.random() < 0.02 else 1)), f"w{n}"])
+        page.sort(key=lambda f: (round(f[1], 1), f[0], f[3]))
+        rows: list = []
+        for f in page:
+            for row in rows:
+                a = row[0]
+                if abs((f[1] + f[2]) - (a[1] + a[2])) / 2 <= max(1.0, min(f[2] - f[1], a[2] - a[1])) * 0.55:
+                    row.append(f)
+                    break
+            else:
+                rows.append([f])
+        assert scans._rows_of(page) == [" ".join(f[3] for f in sorted(row, key=lambda f: f[0])) for row in rows]
+
+
+def test_pages_stream_without_a_frame_each(spark):
+    words = spark.range(20_000).selectExpr("id div 4 AS page", "CAST(id % 2 AS DOUBLE) AS x0", "(id div 2) % 2 * 12.0 AS y0", "id % 2 + 1.0 AS x1", "(id div 2) % 2 * 12.0 + 10 AS y1", "concat('w', id) AS text")
+    words = words.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS page, 0D AS x0, 0D AS y0, 1D AS x1, 9D AS y1, CAST(NULL AS STRING) AS text"))
+    df = scans.visual_rows(words, "page")
+    got = {(x.page, x.line_no): x.text for x in df.collect()}
+    assert got == {(k // 2, k % 2): f"w{2 * k} w{2 * k + 1}" for k in range(10_000)} | {(None, 0): ""}
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
