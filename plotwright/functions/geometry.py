@@ -29,12 +29,16 @@ def opened(ring: Column) -> Column:
 
 
 def closed(ring: Column) -> Column:
-    return F.concat(opened(ring), F.slice(ring, 1, 1))
+    return let(ring, lambda r: F.concat(opened(r), F.slice(r, 1, 1)))
 
 
 def edges(ring: Column) -> Column:
     """array<struct<a, b>> of the sides of the ring."""
-    r = opened(ring)
+    return let(ring, lambda r: let(opened(r), _sides))
+
+
+def _sides(r: Column) -> Column:
+    """`edges` of a ring that is open."""
     return F.arrays_zip(r.alias("a"), F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)).alias("b"))
 
 
@@ -44,8 +48,12 @@ def _sum(values: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area, positive counter-clockwise; 0 with fewer than three points."""
-    parts = F.transform(edges(ring), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
-    return F.when(F.size(opened(ring)) < 3, 0.0).otherwise(_sum(parts) / 2)
+
+    def of(r: Column) -> Column:
+        parts = F.transform(_sides(r), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+        return F.when(F.size(r) < 3, 0.0).otherwise(_sum(parts) / 2)
+
+    return let(ring, lambda r: let(opened(r), of))
 
 
 def area(ring: Column) -> Column:
@@ -155,8 +163,8 @@ def from_wkt(text: Column) -> Column:
     """The outer ring of a WKT polygon, opened; null if it has fewer than three points."""
     inner = F.regexp_extract(text, r"(?is)POLYGON\s*\(\((.*?)\)", 1)
     pairs = F.filter(F.transform(F.split(inner, ","), lambda s: F.split(F.trim(s), r"\s+")), lambda a: F.size(a) >= 2)
-    ring = opened(F.transform(pairs, lambda a: point(F.get(a, 0).try_cast("double"), F.get(a, 1).try_cast("double"))))
-    return F.when(F.size(ring) >= 3, ring)
+    points = F.transform(pairs, lambda a: point(F.get(a, 0).try_cast("double"), F.get(a, 1).try_cast("double")))
+    return let(points, lambda p: let(opened(p), lambda ring: F.when(F.size(ring) >= 3, ring)))
 
 
 def affine(ring: Column, c: dict[str, float | Column]) -> Column:
