@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as g
+from ..functions.lets import let
 
 LINE_BLOCKS = frozenset("p div br tr li h1 h2 h3 h4 table".split())
 EXTENSIONS = ("docx", "odt", "xlsx", "ods", "pptx", "csv", "tsv", "html", "htm", "rtf", "txt")
@@ -247,12 +248,22 @@ def cityjson_parcels(docs: DataFrame, json_col: str) -> DataFrame:
     def at(v: Column, k: int) -> Column:
         return F.get(v, k) * F.coalesce(F.get(scale, k), F.lit(1.0)) + F.coalesce(F.get(move, k), F.lit(0.0))
 
-    c = c.select("c", F.transform("c.vertices", lambda v: F.struct(at(v, 0).alias("x"), at(v, 1).alias("y"))).alias("vs"))
-    o = c.select("vs", F.explode("c.CityObjects").alias("object_id", "o"))
-    surfaces = F.flatten(F.transform("o.geometry", lambda s: s["boundaries"]))
-    rings = F.transform(surfaces, lambda s: g.opened(F.transform(F.get(s, 0), lambda i: F.get(F.col("vs"), i))))
-    sized = F.filter(F.transform(rings, lambda r: F.struct((-g.area(r)).alias("minus"), r.alias("ring"))), lambda x: x["minus"] < 0)
-    return o.select("object_id", F.col("o.attributes").alias("attributes"), F.get(F.array_sort(sized), 0)["ring"].alias("ring"), F.size(sized).alias("surfaces"))
+    def read(vs: Column) -> Column:
+        """The objects with their rings, so that no row has more of the vertices than its own."""
+
+        def sized(o: Column) -> Column:
+            surfaces = F.flatten(F.transform(o["geometry"], lambda s: s["boundaries"]))
+            rings = F.transform(surfaces, lambda s: let(F.transform(F.get(s, 0), lambda i: F.get(vs, i)), g.opened))
+            return F.filter(F.transform(rings, lambda r: F.struct((-g.area(r)).alias("minus"), r.alias("ring"))), lambda x: x["minus"] < 0)
+
+        def row(e: Column) -> Column:
+            largest = lambda s: F.struct(e["key"].alias("object_id"), e["value"]["attributes"].alias("attributes"), F.get(F.array_sort(s), 0)["ring"].alias("ring"), F.size(s).alias("surfaces"))
+            return let(sized(e["value"]), largest)
+
+        return F.transform(F.map_entries("c.CityObjects"), row)
+
+    vertices = F.transform("c.vertices", lambda v: F.struct(at(v, 0).alias("x"), at(v, 1).alias("y")))
+    return c.select(F.explode(let(vertices, read)).alias("o")).select("o.*")
 
 
 def world_file(text: Column) -> Column:
