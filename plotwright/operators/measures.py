@@ -77,11 +77,13 @@ def print_score(values: DataFrame, profile: DataFrame, key: str, value: str) ->
     return j.withColumn("z", F.round((F.col(value) - F.col("mean")) / F.col("std"), 2)).withColumn("suspected", (F.col(value) > F.col("q995")) & (F.col("q995") > F.col("q500")))
 
 
-def control_fit(points: DataFrame, key: str) -> DataFrame:
-    """Least-squares affine of control points (px, py, lon, lat) per sheet, by normal equations, and its RMS in metres."""
-    s = {n: F.sum(e) for n, e in {"n": F.lit(1.0), "x": F.col("px"), "y": F.col("py"), "xx": F.col("px") * F.col("px"), "xy": F.col("px") * F.col("py"), "yy": F.col("py") * F.col("py"), "u": F.col("lon"), "xu": F.col("px") * F.col("lon"), "yu": F.col("py") * F.col("lon"), "v": F.col("lat"), "xv": F.col("px") * F.col("lat"), "yv": F.col("py") * F.col("lat")}.items()}
-    g = points.groupBy(key).agg(*[c.alias(f"s_{n}") for n, c in s.items()]).where("s_n >= 3")
-    c = {n: F.col(f"s_{n}") for n in s}
+def _sums() -> dict[str, Column]:
+    """Sums over control points that the normal equations are made of."""
+    return {n: F.sum(e) for n, e in {"n": F.lit(1.0), "x": F.col("px"), "y": F.col("py"), "xx": F.col("px") * F.col("px"), "xy": F.col("px") * F.col("py"), "yy": F.col("py") * F.col("py"), "u": F.col("lon"), "xu": F.col("px") * F.col("lon"), "yu": F.col("py") * F.col("lon"), "v": F.col("lat"), "xv": F.col("px") * F.col("lat"), "yv": F.col("py") * F.col("lat")}.items()}
+
+
+def _solved(c: dict[str, Column]) -> tuple[Column, list[Column]]:
+    """The determinant of the normal equations and a to f of their solution."""
 
     def det(a, b, d, e, f, h, i, j, k):  # noqa: PLR0913
         return a * (f * k - h * j) - b * (e * k - h * i) + d * (e * j - f * i)
@@ -92,9 +94,21 @@ def control_fit(points: DataFrame, key: str) -> DataFrame:
         return (det(p, c["xy"], c["x"], q, c["yy"], c["y"], r, c["y"], c["n"]) / whole, det(c["xx"], p, c["x"], c["xy"], q, c["y"], c["x"], r, c["n"]) / whole, det(c["xx"], c["xy"], p, c["xy"], c["yy"], q, c["x"], c["y"], r) / whole)
 
     lon, lat = solve(c["xu"], c["yu"], c["u"]), solve(c["xv"], c["yv"], c["v"])
-    fit = g.where(F.abs(whole) > 1e-12).select(key, *[x.alias(n) for n, x in zip("abcdef", (*lon, *lat), strict=True)])
-    r2 = F.pow(F.col("a") * F.col("px") + F.col("b") * F.col("py") + F.col("c") - F.col("lon"), F.lit(2)) + F.pow(F.col("d") * F.col("px") + F.col("e") * F.col("py") + F.col("f") - F.col("lat"), F.lit(2))
-    rms = points.join(fit, key).groupBy(key).agg((F.sqrt(F.avg(r2)) * 110_540.0).alias("rms_m"))
+    return whole, [*lon, *lat]
+
+
+def _square() -> Column:
+    """The square of a point's distance from where the fit puts it, in degrees."""
+    return F.pow(F.col("a") * F.col("px") + F.col("b") * F.col("py") + F.col("c") - F.col("lon"), F.lit(2)) + F.pow(F.col("d") * F.col("px") + F.col("e") * F.col("py") + F.col("f") - F.col("lat"), F.lit(2))
+
+
+def control_fit(points: DataFrame, key: str) -> DataFrame:
+    """Least-squares affine of control points (px, py, lon, lat) per sheet, by normal equations, and its RMS in metres."""
+    s = _sums()
+    g = points.groupBy(key).agg(*[c.alias(f"s_{n}") for n, c in s.items()]).where("s_n >= 3")
+    whole, solution = _solved({n: F.col(f"s_{n}") for n in s})
+    fit = g.where(F.abs(whole) > 1e-12).select(key, *[x.alias(n) for n, x in zip("abcdef", solution, strict=True)])
+    rms = points.join(fit, key).groupBy(key).agg((F.sqrt(F.avg(_square())) * 110_540.0).alias("rms_m"))
     return fit.join(rms, key)
 
 
@@ -108,18 +122,26 @@ def control_fit_robust(points: DataFrame, key: str, max_rms_m: float = CONTROL_R
     `points` has an id within the sheet. One point of every bad sheet goes a round, at most `most`
     rounds; the result has dropped, the number of points left out, and whether the fit passed.
     """
-    used = points.withColumn("_dropped", F.lit(0))
+    w = Window.partitionBy(key)
+
+    def fitted(rows: DataFrame) -> DataFrame:
+        """Rows of the sheets that have a fit, with it, the point's own error and the sheet's, all within one shuffle by sheet."""
+        sums = _sums()
+        whole, solution = _solved({n: F.col(f"_s_{n}") for n in sums})
+        s = rows.select("*", *[c.over(w).alias(f"_s_{n}") for n, c in sums.items()])
+        fit = s.where((F.col("_s_n") >= 3) & (F.abs(whole) > 1e-12)).select(*rows.columns, *[x.alias(n) for n, x in zip("abcdef", solution, strict=True)])
+        r2 = fit.withColumn("_r2", _square())
+        return r2.withColumn("_rms", F.sqrt(F.avg("_r2").over(w)) * 110_540.0)
+
+    used = points.where(F.col(key).isNotNull()).withColumn("_dropped", F.lit(0))
     for _ in range(most):
-        fit = control_fit(used, key)
-        j = used.join(fit, key)
-        off = F.sqrt(F.pow(F.col("a") * F.col("px") + F.col("b") * F.col("py") + F.col("c") - F.col("lon"), F.lit(2)) + F.pow(F.col("d") * F.col("px") + F.col("e") * F.col("py") + F.col("f") - F.col("lat"), F.lit(2)))
-        w = Window.partitionBy(key)
-        worst = F.row_number().over(w.orderBy(F.desc(F.round(off, 12)), "point_id"))
-        j = j.withColumn("_n", F.count("*").over(w)).withColumn("_rank", worst)
-        bad = (F.col("rms_m") > max_rms_m) & (F.col("_n") > CONTROL_REDUNDANT)
+        worst = F.row_number().over(w.orderBy(F.desc(F.round(F.sqrt("_r2"), 12)), "point_id"))
+        j = fitted(used).withColumn("_n", F.count("*").over(w)).withColumn("_rank", worst)
+        bad = (F.col("_rms") > max_rms_m) & (F.col("_n") > CONTROL_REDUNDANT)
         used = j.withColumn("_dropped", F.col("_dropped") + F.when(bad, 1).otherwise(0)).where(~bad | (F.col("_rank") > 1)).select(*points.columns, "_dropped")
-    counts = used.groupBy(key).agg(F.max("_dropped").alias("dropped"), F.count("*").alias("points"))
-    return control_fit(used, key).join(counts, key).withColumn("passed", F.col("rms_m") <= max_rms_m)
+    fit = [F.first(n).alias(n) for n in "abcdef"]
+    g = fitted(used).groupBy(key).agg(*fit, F.first("_rms").alias("rms_m"), F.max("_dropped").alias("dropped"), F.count("*").alias("points"))
+    return g.withColumn("passed", F.col("rms_m") <= max_rms_m)
 
 
 def robust_outliers(rows: DataFrame, value: str, key: str, cut: float = 3.5) -> DataFrame:
