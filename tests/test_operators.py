@@ -268,3 +268,11 @@ def test_pairs_that_involve_a_volume(spark):
     some = sorted(tuple(x) for x in vertical.conflicts(v, 1.0, F.col("parcel_ulpin") == "P1").select("rule", "a", "b").collect())
     every = vertical.conflicts(v, 1.0).select("rule", "a", "b").collect()
     assert some == sorted(tuple(x) for x in every if x.a % 4 == 1 or x.b % 4 == 1) and 0 < len(some) < len(every)
+
+
+@pytest.mark.parametrize(("mean", "warnings", "want"), [(0.4135, 2, 29.4), (0.34049999999999997, 1, 28.1), (0.5495, 0, 55.0), (0.6244999999999999, 0, 62.5), (0.1, 9, 0.0)])
+def test_trust_is_rounded_as_its_sql_rounds(spark, mean, warnings, want):
+    import duckdb
+
+    got = spark.range(1).select(rules.trust(F.lit(mean), F.lit(0), F.lit(warnings)).alias("t")).first().t
+    assert got == want == duckdb.execute(f"SELECT greatest(0.0::DOUBLE, round(({mean}::DOUBLE - least(0.6::DOUBLE, {warnings} * 0.06::DOUBLE)) * 100, 1))").fetchall()[0][0]
