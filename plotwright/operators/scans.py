@@ -187,15 +187,36 @@ def repair_digits(primary: DataFrame, digits: DataFrame) -> DataFrame:
     """Lines (page, line_no, text, box) with the digits that a second reading of the same place gives.
 
     The second line has as many runs of digits, shares most of the height and half of the width;
-    the one that shares most height wins, then the first. Without one the line stays.
+    the one that shares most height wins, then the first. Without one the line stays. Boxes without height match nothing.
+    Lines meet by place within the page, not all with all.
     """
     runs = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
-    d = digits.select("page", *[F.col(c).alias(f"d_{c}") for c in ("line_no", "x0", "y0", "x1", "y1", "text")])
-    j = primary.join(d, "page")
-    tall = (F.least("y1", "d_y1") - F.greatest("y0", "d_y0")) / F.least(F.col("y1") - F.col("y0"), F.col("d_y1") - F.col("d_y0"))
-    wide = F.greatest(F.lit(0.0), F.least("x1", "d_x1") - F.greatest("x0", "d_x0")) / (F.greatest("x1", "d_x1") - F.least("x0", "d_x0"))
-    fits = (tall >= DIGIT_OVERLAP) & (wide >= DIGIT_IOU) & (F.size(runs(F.col("text"))) > 0) & (F.size(runs(F.col("text"))) == F.size(runs(F.col("d_text"))))
-    best = j.where(fits).groupBy("page", "line_no").agg(F.min_by("d_text", F.struct(-tall, F.col("d_line_no"))).alias("second"))
+    columns = ("line_no", "x0", "y0", "x1", "y1", "text")
+
+    def sized(lines: DataFrame, mark: str) -> DataFrame:
+        """Lines with digits, their number of runs, and the power of two over their height."""
+        named = lines.select("page", F.size(runs(F.col("text"))).alias("n"), *[F.col(c).alias(f"{mark}_{c}") for c in columns])
+        height = F.col(f"{mark}_y1") - F.col(f"{mark}_y0")
+        return named.where((F.col("n") > 0) & (height > 0)).withColumn(f"{mark}_grain", F.pow(F.lit(2.0), F.floor(F.log2(height)) + 1))
+
+    def meet(low: DataFrame, a: str, high: DataFrame, b: str, on: Column) -> DataFrame:
+        """Pairs of lines of which the one of `high` holds the middle of the one of `low`: a line that is higher and shares over half of the lower one does.
+
+        A line lies in two cells of its grain at most; the middle of the other is looked up at each grain of the page.
+        """
+        at = lambda v: F.floor(v / F.col("grain"))
+        grains = high.groupBy("page").agg(F.collect_set(f"{b}_grain").alias("grains"))
+        middle = low.join(grains, "page").withColumn("grain", F.explode("grains")).drop("grains").where(F.col("grain") >= F.col(f"{a}_grain"))
+        middle = middle.withColumn("cell", at(F.col(f"{a}_y0") + (F.col(f"{a}_y1") - F.col(f"{a}_y0")) / 2))
+        held = high.withColumn("grain", F.col(f"{b}_grain")).withColumn("cell", F.explode(F.sequence(at(F.col(f"{b}_y0")), at(F.col(f"{b}_y1")))))
+        return middle.join(held.hint("merge"), ["page", "n", "grain", "cell"]).where(on)
+
+    p, d = sized(primary, "p"), sized(digits, "d")
+    p_high, d_high = F.col("p_y1") - F.col("p_y0"), F.col("d_y1") - F.col("d_y0")
+    j = meet(p, "p", d, "d", p_high <= d_high).unionByName(meet(d, "d", p, "p", d_high < p_high))
+    tall = (F.least("p_y1", "d_y1") - F.greatest("p_y0", "d_y0")) / F.least(p_high, d_high)
+    wide = F.try_divide(F.greatest(F.lit(0.0), F.least("p_x1", "d_x1") - F.greatest("p_x0", "d_x0")), F.greatest("p_x1", "d_x1") - F.least("p_x0", "d_x0"))
+    best = j.where((tall >= DIGIT_OVERLAP) & (wide >= DIGIT_IOU)).groupBy("page", F.col("p_line_no").alias("line_no")).agg(F.min_by("d_text", F.struct(-tall, F.col("d_line_no"))).alias("second"))
     out = primary.join(best, ["page", "line_no"], "left")
     fixed = F.when(F.col("second").isNotNull(), with_digits(F.col("text"), runs(F.col("second")))).otherwise(F.col("text"))
     return out.select("page", "line_no", fixed.alias("text"), (fixed != F.col("text")).alias("changed"))

@@ -188,3 +188,28 @@ def test_pages_stream_without_a_frame_each(spark):
     got = {(x.page, x.line_no): x.text for x in df.collect()}
     assert got == {(k // 2, k % 2): f"w{2 * k} w{2 * k + 1}" for k in range(10_000)} | {(None, 0): ""}
     assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_digits_meet_by_place_and_as_all_pairs_would(spark):
+    r = random.Random(8)
+
+    def line(n):
+        y, h, x = r.uniform(-40, 40), r.choice((1, 2, 3.7, 8, 30)), r.uniform(0, 20)
+        return (r.randint(1, 2), n, x, y, x + 60, y + h, " ".join(["k", *(str(r.randint(1, 99)) for _ in range(r.randint(0, 2)))]))
+
+    a, b = [[line(n) for n in range(150)] for _ in range(2)]
+    schema = "page long, line_no long, x0 double, y0 double, x1 double, y1 double, text string"
+    df = scans.repair_digits(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    got = {(x.page, x.line_no): x.text for x in df.collect()}
+    want = {}
+    for p in a:
+        fit = []
+        for d in b:
+            tall = (min(p[5], d[5]) - max(p[3], d[3])) / min(p[5] - p[3], d[5] - d[3])
+            wide = max(0.0, min(p[4], d[4]) - max(p[2], d[2])) / (max(p[4], d[4]) - min(p[2], d[2]))
+            n = len(p[6].split()) - 1
+            if d[0] == p[0] and tall >= 0.6 and wide >= 0.5 and n and n == len(d[6].split()) - 1:
+                fit.append((-tall, d[1], d[6]))
+        want[p[0], p[1]] = min(fit)[2] if fit else p[6]
+    assert got == want and got != {(p[0], p[1]): p[6] for p in a}
+    assert "cell" in df._jdf.queryExecution().optimizedPlan().toString()
