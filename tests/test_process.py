@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -109,6 +111,81 @@ def test_best_match_against_all_rows(spark):
     assert pruned == {k: v for k, v in whole.items() if v[1] >= registry.MATCH} and len(pruned) > 20
 
 
+IDS = "khasra_number string, khata_number string, village string, district string"
+
+
+def nearest(records, registry_rows, least):
+    """Source and score by n-gram counts in plain Python, every record against every registry row."""
+
+    def counts(row):
+        words = [f" {re.sub('[^a-z0-9]', '', (x or '').lower())} " for x in row]
+        return Counter(w[i : i + n] for w in words if w != "  " for n in (2, 3) for i in range(max(len(w) - n + 1, 1)))
+
+    docs = sorted((s, counts(x)) for s, *x in registry_rows)
+    df = Counter(g for _, d in docs for g in d)
+    idf = {g: math.log((1 + len(docs)) / (1 + n)) + 1 for g, n in df.items()}
+    length = lambda d: math.sqrt(sum((n * idf[g]) ** 2 for g, n in d.items() if g in idf))
+    out = {}
+    for k, *x in records:
+        q = counts(x)
+        scores = [(-round(sum(n * d[g] * idf[g] ** 2 for g, n in q.items() if g in d) / (length(q) * length(d)), 9), s) for s, d in docs if length(d) and length(q)]
+        if scores and -min(scores)[0] >= max(least, 1e-9):
+            out[k] = (min(scores)[1], -min(scores)[0])
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 32768])
+def test_best_match_in_blocks_with_copies_ties_and_gaps(spark, monkeypatch, block):
+    monkeypatch.setattr(registry, "BLOCK", block)
+    monkeypatch.setattr(registry, "TEXTS", 9)
+    r = random.Random(11)
+    parcel = lambda: (f"{r.randint(1, 40)}/{r.randint(1, 3)}", r.choice(["", None, str(r.randint(1, 30))]), f"village {r.randint(1, 4)}", r.choice(["Patna", "Gaya", None]))
+    reg = [(f"R{k}", *parcel()) for k in range(60)]
+    reg += [("R9x", *reg[5][1:]), ("R00", *reg[5][1:]), ("R61", None, None, "", None), ("R62", "12", "21", "x", "y"), ("R63", "21", "12", "x", "y")]
+    rec = [(k, *parcel()) for k in range(80)] + [(80, *reg[5][1:]), (81, None, "", "--", None), (82, "zz", "zz", "zz", "zz"), (83, "12", "21", "x", "y"), (84, *reg[9][1:]), (85, *reg[9][1:])]
+    g, q = spark.createDataFrame(reg, "source_id string, " + IDS), spark.createDataFrame(rec, "id long, " + IDS)
+    for least in (registry.MATCH, 0.0):
+        got = {x.id: (x.source_id, round(x.score, 9)) for x in registry.best_match(q, g, least=least).collect()}
+        want = nearest(rec, reg, least)
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+    assert got[80][0] == "R00" and got[83][0] == "R62" and got[84] == got[85] and not {81, 82} & got.keys()
+    assert registry.best_match(q, g.limit(0)).count() == 0 and registry.best_match(q.limit(0), g).count() == 0
+
+
+def test_best_match_writes_no_pairs(spark):
+    """No step of the plan gives out a row for each pair of records and registry rows that share an n-gram."""
+    r = random.Random(5)
+    parcel = lambda: (f"{r.randint(1, 900)}/{r.randint(1, 9)}", str(r.randint(1, 3000)), "village 1", "Patna")
+    n = 400
+    g = spark.createDataFrame([(k, *parcel()) for k in range(n)], "source_id long, " + IDS)
+    found = registry.best_match(spark.createDataFrame([(k, *parcel()) for k in range(n)], "id long, " + IDS), g)
+    assert found.collect()
+
+    def most(plan) -> int:
+        name = plan.getClass().getSimpleName()
+        inner = "executedPlan" if name == "AdaptiveSparkPlanExec" else "plan" if name.endswith("QueryStageExec") else None
+        rows, below = plan.metrics().get("numOutputRows"), plan.children()
+        kids = [getattr(plan, inner)()] if inner else [below.apply(k) for k in range(below.size())]
+        return max([rows.get().value() if rows.isDefined() else 0, *map(most, kids)])
+
+    assert 0 < most(found._jdf.queryExecution().executedPlan()) < n * n / 2
+
+
+def test_scores_of_a_block_do_not_depend_on_what_was_kept(monkeypatch):
+    r = random.Random(7)
+    texts = [f"{r.randint(1, 99)} {r.randint(1, 99)} village{r.randint(1, 5)}" for _ in range(50)]
+    weights = {g: 1 + r.random() for x in texts for w in (f" {y} " for y in x.split()) for n in (2, 3) for g in (w[i : i + n] for i in range(len(w) - n + 1))}
+    asked = sorted(texts[:20] + ["", "77 village9", "8 8 8", "8 8", "none"])
+    wide = registry.Block(weights, texts)
+    kept = [wide.best(x, 0.2) for x in asked]
+    monkeypatch.setattr(registry, "KEPT", -1)
+    r.shuffle(order := list(range(len(asked))))
+    bare = registry.Block(weights, texts)
+    assert {k: bare.best(asked[k], 0.2) for k in order} == dict(enumerate(kept))
+    assert kept[asked.index("")] == (None, 0.0) and kept[asked.index(texts[3])][1] == pytest.approx(1.0)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6))
 def test_common_area_against_samples(seed):
